@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, quality, simhash
+from framelake.llm import bpe, mixing, quality, secrets, sharding, simhash
 from framelake.llm.common import documents
 
 
@@ -12,6 +12,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(documents(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -21,8 +33,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_bpe": op1_bpe, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
+    return {
+        "op1_bpe": op1_bpe,
+        "op3_secrets": op3_secrets,
+        "op5_sharding": op5_sharding,
+        "op8_mixing": op8_mixing,
+        "op9_simhash": op9_simhash,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op5_sharding": sharding.placements_sql()}
