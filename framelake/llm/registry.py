@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, mixing, quality, secrets, sharding, simhash
+from framelake.llm import bpe, mixing, quality, secrets, sharding, simhash, syncmers
 from framelake.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_report(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(documents(spark, sf_dir))
 
@@ -36,6 +40,7 @@ def queries():
     return {
         "op1_bpe": op1_bpe,
         "op3_secrets": op3_secrets,
+        "op4_syncmers": op4_syncmers,
         "op5_sharding": op5_sharding,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
