@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, mixing, quality, secrets, sharding, simhash, syncmers
+from framelake.llm import bpe, mixing, quality, repeats, secrets, sharding, simhash, syncmers, toxicity
 from framelake.llm.common import documents
 
 
@@ -24,6 +24,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(documents(spark, sf_dir))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -42,6 +50,8 @@ def queries():
         "op3_secrets": op3_secrets,
         "op4_syncmers": op4_syncmers,
         "op5_sharding": op5_sharding,
+        "op6_repeats": op6_repeats,
+        "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,

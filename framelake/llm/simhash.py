@@ -133,6 +133,12 @@ def close_links(prints: DataFrame, distance: int = DISTANCE, tile: int = TILE) -
     return lists.select("i", "j", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
+def groups_of(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """nodes (fp, ...) with ``c``, the smallest fingerprint (as a bigint) that can be reached."""
+    groups = components(close_links(nodes.select("fp"), distance))
+    return checkpoint(nodes.join(groups, nodes["fp"] == groups["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component"))
+
+
 def near_groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row.
 
@@ -143,9 +149,7 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE)
     """
     rows = checkpoint(fingerprints(docs, size))
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    groups = components(close_links(nodes.select("fp"), distance))
-    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("c"))
-    named = checkpoint(named)
+    named = groups_of(nodes, distance)
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "c").select("fp", "component_id", "n")
     bar = max(HOT_ROWS, rows.count() // HOT_MOST)
@@ -154,3 +158,23 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE)
     dealt = rows.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.floor(F.rand(1) * SALTS)).cast("int"))
     out = dealt.join(salted, ["fp", "salt"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_dedup_stage(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
+    """One row of each group of near copies, with the columns it came with: that of the smallest doc_id (nulls last; then the least hash of the text).
+
+    Rows alike in doc_id and text count as one. Groups are settled among fingerprints, of which each row's is known by key; whole rows move once.
+    """
+    key = {"__kd": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "__kh": F.xxhash64(F.col("text").cast("string"), F.col("doc_id").isNull())}
+    columns = docs.columns
+    rows = docs.withColumns(key)
+
+    def run(batches):
+        for batch in slices(batches):
+            got = [signed(fingerprint(t, size)) for t in texts_as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int64())], names=["kd", "kh", "fp"])
+
+    prints = rows.select("__kd", "__kh", F.col("text").cast("string").alias("text")).mapInArrow(run, "kd bigint, kh bigint, fp bigint")
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min(F.struct("kd", "kh")).alias("first")))
+    stay = groups_of(nodes, distance).groupBy("c").agg(F.min("first").alias("f")).select(F.col("f.kd").alias("__kd"), F.col("f.kh").alias("__kh"))
+    return rows.join(stay, ["__kd", "__kh"], "left_semi").dropDuplicates(["__kd", "__kh"]).select(*[F.col(f"`{c}`") for c in columns])

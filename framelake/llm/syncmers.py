@@ -21,19 +21,22 @@ _PAD = 2**63 - 1
 _NONE = "cast(array() as array<bigint>)"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambda variables are the only names inside an expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def anchors(text: Column, k: int = K) -> Column:
     """The different closed syncmers of a text, as 32-bit hashes in order."""
-    letters = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.xxhash64)
+    letters = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))
     pad = F.array_repeat(F.lit(_PAD).cast("bigint"), k - 1)
 
-    def chosen(padded: Column) -> Column:
-        n = F.size(padded) - (k - 1)
-        windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(padded, i, k))
-        closed = F.filter(windows, lambda w: F.array_min(w).isin(w[0], w[k - 1]))
-        return F.transform(closed, lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFFFF)))
+    def chosen(p: Column) -> Column:
+        at = lambda i, d: F.get(p, i + d if d else i)
+        closed = F.filter(F.sequence(F.lit(0), F.size(p) - k), lambda i: F.least(at(i, 0), at(i, k - 1)) <= F.least(*[at(i, d) for d in range(1, k - 1)]))
+        return F.transform(closed, lambda i: F.xxhash64(*[at(i, d) for d in range(k)]).bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    padded = F.transform(F.array(letters), lambda h: F.when(F.size(h) > 0, chosen(F.concat(pad, h, pad))).otherwise(F.expr(_NONE)))
-    return F.sort_array(F.array_distinct(F.element_at(padded, 1)))
+    return F.sort_array(F.array_distinct(let(F.concat(pad, letters, pad), lambda p: F.when(F.size(p) > 2 * (k - 1), chosen(p)).otherwise(F.expr(_NONE)))))
 
 
 def sketch(text: Column, k: int = K, size: int = SKETCH) -> Column:
