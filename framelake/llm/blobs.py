@@ -102,9 +102,9 @@ def shard_count(spark, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
-def by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part begins among ordered 48-bit keys; the last entry is the number of keys."""
-    edges = np.array([(i << 48) // shards for i in range(shards)], dtype=np.uint64)
+def by_shard(keys: np.ndarray, shards: int, bits: int = 48) -> np.ndarray:
+    """Where each shard's part begins among ordered keys of that many bits; the last entry is the number of keys."""
+    edges = np.array([(i << bits) // shards for i in range(shards)], dtype=np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 

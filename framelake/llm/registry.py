@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, mixing, quality, repeats, secrets, sharding, simhash, syncmers, toxicity
+from framelake.llm import bpe, lm, mixing, quality, repeats, secrets, sharding, simhash, syncmers, toxicity
 from framelake.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op2_lm": op2_lm,
         "op3_secrets": op3_secrets,
         "op4_syncmers": op4_syncmers,
         "op5_sharding": op5_sharding,
