@@ -23,7 +23,7 @@ BATCH_BYTES = 2_000_000
 NO_ID = -(2**63)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as bytes, plane by plane (all lowest bytes first), so that numbers smaller than their type cost little."""
     out = [struct.pack("<I", len(arrays))]
     for a in arrays:
@@ -31,7 +31,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         kind = a.dtype.str.encode()
         planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
         out += [struct.pack("<BQ", len(kind), len(a)), kind, planes]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -39,6 +39,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more."""
+    spark, plan = df.sparkSession, df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.nodeName().startswith(("LogicalRDD", "Scan ExistingRDD", "ExistingRDD")) else None
+    if file is not None and file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.blobs import NO_ID, by_shard, column, deltas, mix, pack, shard_count, text_batches, union_of, unpack
-from framelake.llm.common import checkpoint
+from framelake.llm.common import checkpoint, forget
 
 LENGTH = 50
 GRAM = 16
@@ -217,7 +217,7 @@ def digests(ids: np.ndarray, texts: list[bytes]) -> dict:
     np.minimum.at(least, which, ids)
     heads = [{"i": i, "h": xxhash.xxh3_128_digest(t), "least": int(m)} for i, (t, m) in enumerate(zip(distinct, least, strict=True))]
     sizes = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
-    return {"blob": pack(ids, which, sizes, np.frombuffer(b"".join(distinct), dtype=np.uint8)), "heads": heads, "size": int(sizes.sum())}
+    return {"blob": pack(ids, which, sizes, np.frombuffer(b"".join(distinct), dtype=np.uint8), level=3), "heads": heads, "size": int(sizes.sum())}
 
 
 def _texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -249,7 +249,7 @@ def ask_all(batches: DataFrame, shards: int) -> DataFrame:
         kept = [texts[i] for i in own]
         keys, several = Minimizers(kept).asked()
         edges = by_shard(keys, shards)
-        rows = [(-1, pack(ids, which, sizes, first, own, short, np.frombuffer(b"".join(kept), dtype=np.uint8)))]
+        rows = [(-1, pack(ids, which, sizes, first, own, short, np.frombuffer(b"".join(kept), dtype=np.uint8), level=3))]
         rows += [(s, pack(deltas(keys[a:b]), several[a:b].view(np.uint8))) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         return pa.table({"batch": pa.array([key[0].as_py()] * len(rows), pa.int64()), "part": pa.array([s for s, _ in rows], pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
@@ -282,7 +282,8 @@ def answer_keys(asked: DataFrame) -> DataFrame:
 
 
 def cut_pieces(texts: DataFrame, asked_shards: int, answers: DataFrame, shards: int) -> DataFrame:
-    """batch, part, blob: part -1 has the places of the pieces, others the different pieces for a shard with their smallest doc_id."""
+    """batch, part, blob: part -1 has the batch's documents with the places of the pieces (texts only where there are any, digests of the others), other parts
+    the different pieces for a shard with their smallest doc_id."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kinds, parts, blobs = column(table, "kind"), column(table, "part"), column(table, "blob")
@@ -317,7 +318,17 @@ def cut_pieces(texts: DataFrame, asked_shards: int, answers: DataFrame, shards:
                 number[i] = j
             blob = pack(np.fromiter(map(len, seen), dtype=np.int32, count=len(seen)), np.array(least, dtype=np.int64), np.array(codes, dtype=np.uint32), np.frombuffer(b"".join(seen), dtype=np.uint8))
             rows.append((int(shard[group[0]]), blob))
-        rows.append((-1, pack(start, (end - start).astype(np.int32), shard.astype(np.int32), number.astype(np.int32))))
+        # Texts without pieces lose nothing and go no further.
+        text = found.text_of(start)
+        touched = np.unique(text)
+        digest = np.zeros((len(sizes), 32), dtype=np.uint8)
+        digest[sizes < LENGTH] = short.reshape(-1, 32)
+        for i in np.setdiff1d(np.arange(len(own)), touched).tolist():
+            digest[own[i]] = np.frombuffer(hashlib.sha256(kept[i]).digest(), dtype=np.uint8)
+        moved = np.cumsum(sizes[own[touched]]) - ends[touched]
+        start = start + moved[np.searchsorted(touched, text)] if len(start) else start
+        texts = np.frombuffer(b"".join(kept[i] for i in touched.tolist()), dtype=np.uint8)
+        rows.append((-1, pack(ids, which, sizes, first, own[touched], digest.reshape(-1), start, number.astype(np.int32), shard.astype(np.int32), texts, level=3)))
         return pa.table({"batch": pa.array([key[0].as_py()] * len(rows), pa.int64()), "part": pa.array([s for s, _ in rows], pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
     return union_of(texts, answers).groupBy("batch").applyInArrow(run, "batch bigint, part int, blob binary")
@@ -381,54 +392,48 @@ def removed_runs(covered: np.ndarray) -> int:
     return int((np.diff(covered.astype(np.int8), prepend=np.int8(0)) == 1).sum())
 
 
-def settle(texts: DataFrame, places: DataFrame, answers: DataFrame) -> DataFrame:
+def settle(places: DataFrame, answers: DataFrame) -> DataFrame:
     """The report's rows of every batch."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kinds, parts, blobs = column(table, "kind"), column(table, "part"), column(table, "blob")
-        ids, which, sizes, first, own, short, data = unpack(blobs[kinds.index(0)])
-        start, size, shard, number = unpack(blobs[kinds.index(1)])
+        ids, which, sizes, first, own, digest, start, number, shard, data = unpack(blobs[kinds.index(0)])
         ends = np.cumsum(sizes[own])
         edge = np.zeros(len(data) + 1, dtype=np.int32)
-        text = np.searchsorted(ends, start, side="right")
-        owner = first[own][text] if len(start) else start
+        owner = first[own][np.searchsorted(ends, start, side="right")] if len(start) else start
         for k, s, b in zip(kinds, parts, blobs, strict=True):
-            if k != 2:
+            if k != 1:
                 continue
             n_runs, lengths, smallest = unpack(b)
             cuts = np.cumsum(n_runs) - n_runs
             mine = np.flatnonzero(shard == s)
-            runs = np.repeat(cuts[number[mine]] - (np.cumsum(n_runs[number[mine]]) - n_runs[number[mine]]), n_runs[number[mine]]) + np.arange(int(n_runs[number[mine]].sum()))
-            of = np.repeat(np.arange(len(mine)), n_runs[number[mine]])
+            many = n_runs[number[mine]].astype(np.int64)
+            of = np.repeat(np.arange(len(mine)), many)
+            runs = np.repeat(cuts[number[mine]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             span = lengths[runs].astype(np.int64)
             inner = np.cumsum(span) - span
-            begin = np.searchsorted(of, np.arange(len(mine)))
-            at = start[mine][of] + inner - inner[begin][of]
+            at = start[mine][of] + inner - inner[np.cumsum(many) - many][of]
             gone = smallest[runs] < owner[mine][of]
             np.add.at(edge, at[gone], 1)
             np.add.at(edge, at[gone] + span[gone] + LENGTH - 1, -1)
         covered = np.cumsum(edge[:-1]) > 0
-        whole = hashlib.sha256()
-        empty = whole.hexdigest()
+        empty = hashlib.sha256().hexdigest()
         found = {}
         for j, end in zip(own.tolist(), ends.tolist(), strict=True):
             gone = covered[end - int(sizes[j]) : end]
             found[j] = (int(gone.sum()), removed_runs(gone), hashlib.sha256(data[end - int(sizes[j]) : end][~gone].tobytes()).hexdigest())
-        shorts = dict(zip(np.flatnonzero(sizes < LENGTH).tolist(), (short[i : i + 32].tobytes().hex() for i in range(0, len(short), 32)), strict=True))
         rows = []
         for i, j in zip(ids.tolist(), which.tolist(), strict=True):
             n = int(sizes[j])
-            if n < LENGTH:
-                rows.append((n, 0, 0, shorts[j]))
-            elif i > first[j]:
+            if n >= LENGTH and i > first[j]:
                 rows.append((n, n, 1, empty))
             else:
-                rows.append((n, *found[j]))
+                rows.append((n, *found[j]) if j in found else (n, 0, 0, digest[32 * j : 32 * j + 32].tobytes().hex()))
         columns = [pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64())]
         columns += [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.string())]
         return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return union_of(texts, places, answers).groupBy("batch").applyInArrow(run, REPORT)
+    return union_of(places, answers).groupBy("batch").applyInArrow(run, REPORT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -441,6 +446,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     batches = checkpoint(text_batches(docs, ("blob binary, heads array<struct<i:int,h:binary,least:bigint>>, size bigint", digests)))
     shards = shard_count(spark, batches.agg(F.sum("size")).first()[0] or 0, SHARD_BYTES)
     asked = checkpoint(ask_all(batches, shards))
-    texts = asked.where("part = -1")
-    cut = checkpoint(cut_pieces(texts.select("batch", "blob"), shards, answer_keys(asked.where("part >= 0")), shards))
-    return settle(texts.select("batch", "blob"), cut.where("part = -1").select("batch", "blob"), sort_pieces(cut.where("part >= 0")))
+    forget(batches)
+    cut = checkpoint(cut_pieces(asked.where("part = -1").select("batch", "blob"), shards, answer_keys(asked.where("part >= 0")), shards))
+    forget(asked)
+    return settle(cut.where("part = -1").select("batch", "blob"), sort_pieces(cut.where("part >= 0")))
