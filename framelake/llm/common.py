@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -40,12 +41,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a checkpoint that nothing reads any more."""
+    """Delete the files of a checkpoint that nothing reads any more; shuffle files of what led to it go when the driver's garbage does, which is asked for."""
     spark, plan = df.sparkSession, df._jdf.queryExecution().analyzed()
     file = plan.rdd().getCheckpointFile() if plan.nodeName().startswith(("LogicalRDD", "Scan ExistingRDD", "ExistingRDD")) else None
     if file is not None and file.isDefined():
         path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fold_ascii(text: Column) -> Column:
