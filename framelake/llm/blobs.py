@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_batches(docs: DataFrame, made) -> DataFrame:
+def text_batches(docs: DataFrame, made, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """batch, and the columns of ``made`` (schema, function) for batches of whole documents: function(ids, texts) gives a row's values.
 
     ids: doc_ids, NO_ID for null; texts: bytes. A batch's number is that of its partition and its place there: the same in every run over the same files.
@@ -83,7 +83,7 @@ def text_batches(docs: DataFrame, made) -> DataFrame:
                 ids.append(NO_ID if i is None else i)
                 texts.append(t)
                 size += len(t) + 100
-                if size >= BATCH_BYTES:
+                if size >= batch_bytes:
                     yield row()
                     n, ids, texts, size = n + 1, [], [], 0
         if ids:

@@ -40,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Ask for a collection of the driver's garbage: only with it go the shuffle files of plans that are done."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a checkpoint that nothing reads any more; shuffle files of what led to it go when the driver's garbage does, which is asked for."""
     spark, plan = df.sparkSession, df._jdf.queryExecution().analyzed()
@@ -47,8 +53,7 @@ def forget(df: DataFrame) -> None:
     if file is not None and file.isDefined():
         path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    tidy(spark)
 
 
 def fold_ascii(text: Column) -> Column:

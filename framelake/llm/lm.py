@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.blobs import NO_ID, by_shard, column, deltas, mix, pack, shard_count, text_batches, union_of, unpack
-from framelake.llm.common import checkpoint
+from framelake.llm.common import checkpoint, tidy
 from framelake.llm.ngram_trie import NgramTrie
 from framelake.llm.toxicity import words_of
 
 #: Training and scored tokens of a shard, about; training tokens of a context that isn't parted.
-SHARD_TOKENS, HOT_TOKENS = 2_000_000, 1_000_000
+SHARD_TOKENS, HOT_TOKENS = 4_000_000, 1_000_000
+#: Tokens of whole contexts whose trie is built at once, about; bytes of a batch.
+TRIE_TOKENS, BATCH_BYTES = 400_000, 4_000_000
 #: Numbers of the start and the end of a text; words begin at FIRST.
 START, END, FIRST = 0, 1, 2
 _PART = 40
@@ -147,7 +149,7 @@ def ask_ngrams(batches: DataFrame, words: DataFrame, word_shards: int, shards: i
             narrow = np.uint16 if len(used) < 1 << 16 else np.uint32
             inner = inner.astype(narrow)
             runs = np.bincount(spot[a:b] - ends_of[s], minlength=int(ends_of[s + 1] - ends_of[s])).astype(np.uint32)
-            rows.append((s, pack(held, deltas(names[used]), count_of[used], deltas(different[ends_of[s] : ends_of[s + 1]]), runs, inner[: b - a], inner[b - a :], doc[a:b].astype(short))))
+            rows.append((s, pack(held, deltas(names[used]), deltas(count_of[used]), deltas(different[ends_of[s] : ends_of[s + 1]]), runs, deltas(inner[: b - a]), inner[b - a :], doc[a:b].astype(short), level=3)))
         return pa.table({"batch": pa.array([batch] * len(rows), pa.int64()), "part": pa.array([s for s, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
     return union_of(batches.select("batch", "blob"), words).groupBy("batch").applyInArrow(run, "batch bigint, part int, blob binary")
@@ -158,6 +160,18 @@ def shard_trie(before: np.ndarray, context: np.ndarray, word: np.ndarray, count:
     return NgramTrie.from_buffer(NgramTrie.build(before, context, word, count, lower).to_bytes())
 
 
+def _scores(spot: np.ndarray, before: np.ndarray, word: np.ndarray, train: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 probabilities of n-grams in order, from those of them that are for training."""
+    new = np.ones(len(spot), dtype=bool)
+    new[1:] = (spot[1:] != spot[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    begins = np.flatnonzero(new)
+    count = np.add.reduceat(train.astype(np.int64), begins)
+    spot, before, word = spot[begins].astype(np.int64), before[begins].astype(np.int64), word[begins].astype(np.int64)
+    seen = count > 0
+    trie = shard_trie(before[seen], spot[seen], word[seen], count[seen], lower[word[seen]])
+    return trie.log10(before, spot, word, np.log10(lower)[word])[np.cumsum(new) - 1]
+
+
 def score_ngrams(asked: DataFrame, total: int) -> DataFrame:
     """batch, part, blob: for the documents of a batch the sum of the scores of their n-grams in a shard; parts below zero go through."""
 
@@ -168,7 +182,8 @@ def score_ngrams(asked: DataFrame, total: int) -> DataFrame:
         for blob in column(table, "blob"):
             held, gaps, counts, context_gaps, runs, before, word, doc = unpack(blob)
             names_of.append(np.cumsum(gaps))
-            counts_of.append(counts)
+            counts_of.append(np.cumsum(counts))
+            before = np.cumsum(before, dtype=before.dtype)
             contexts_of.append(np.cumsum(context_gaps))
             messages.append((held, runs, before, word, doc))
         names, at = np.unique(np.concatenate(names_of), return_index=True)
@@ -187,15 +202,12 @@ def score_ngrams(asked: DataFrame, total: int) -> DataFrame:
         spot, before, word, doc, train = map(np.concatenate, (spot, before, word, doc, train))
         order = _ordered(spot, before, word)
         spot, before, word, doc, train = spot[order], before[order], word[order], doc[order], train[order]
-        new = np.ones(len(spot), dtype=bool)
-        new[1:] = (spot[1:] != spot[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])
-        begins = np.flatnonzero(new)
-        count = np.add.reduceat(train.astype(np.int64), begins)
-        spot, before, word = spot[begins].astype(np.int64), before[begins].astype(np.int64), word[begins].astype(np.int64)
-        seen = count > 0
-        trie = shard_trie(before[seen], spot[seen], word[seen], count[seen], lower[word[seen]])
-        scores = trie.log10(before, spot, word, np.log10(lower)[word])
-        sums = np.bincount(doc, weights=scores[np.cumsum(new) - 1], minlength=int(sizes[-1]))
+        # Whole contexts one after the other: a trie at a time.
+        sums, at = np.zeros(int(sizes[-1])), 0
+        while at < len(spot):
+            end = int(np.searchsorted(spot, spot[min(at + TRIE_TOKENS, len(spot)) - 1], side="right"))
+            sums += np.bincount(doc[at:end], weights=_scores(spot[at:end], before[at:end], word[at:end], train[at:end], lower), minlength=len(sums))
+            at = end
         blobs = [pack(sums[a:b].astype(np.float32)) for a, b in zip(sizes, sizes[1:], strict=False)]
         return pa.table({"batch": table.column("batch"), "part": table.column("part"), "blob": pa.array(blobs, pa.binary())})
 
@@ -227,10 +239,11 @@ def scores(docs: DataFrame) -> DataFrame:
     occur; with no training rows every token is as likely as an unknown one; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    batches = checkpoint(text_batches(docs, ("blob binary, vocabulary binary, tokens bigint, trained bigint", tokenised)))
+    batches = checkpoint(text_batches(docs, ("blob binary, vocabulary binary, tokens bigint, trained bigint", tokenised), BATCH_BYTES))
     every, ends = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
     shards = shard_count(spark, every, SHARD_TOKENS)
     words = checkpoint(count_words(ask_words(batches, shards), shards))
+    tidy(spark)
     found = [unpack(r["blob"])[0] for r in words.where("batch = -1").select("blob").toLocalIterator()]  # two numbers of each shard
     kinds, tokens = int(sum(f[0] for f in found)) + (ends > 0), int(sum(f[1] for f in found)) + ends
     asked = ask_ngrams(batches, words.where("batch >= 0"), shards, shards, tokens, kinds, ends)
