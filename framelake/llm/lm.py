@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.blobs import NO_ID, by_shard, column, deltas, mix, pack, shard_count, text_batches, union_of, unpack
-from framelake.llm.common import checkpoint, tidy
+from framelake.llm.common import checkpoint, forget
 from framelake.llm.ngram_trie import NgramTrie
 from framelake.llm.toxicity import words_of
 
@@ -152,7 +152,7 @@ def ask_ngrams(batches: DataFrame, words: DataFrame, word_shards: int, shards: i
             rows.append((s, pack(held, deltas(names[used]), deltas(count_of[used]), deltas(different[ends_of[s] : ends_of[s + 1]]), runs, deltas(inner[: b - a]), inner[b - a :], doc[a:b].astype(short), level=3)))
         return pa.table({"batch": pa.array([batch] * len(rows), pa.int64()), "part": pa.array([s for s, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
-    return union_of(batches.select("batch", "blob"), words).groupBy("batch").applyInArrow(run, "batch bigint, part int, blob binary")
+    return union_of(batches, words).groupBy("batch").applyInArrow(run, "batch bigint, part int, blob binary")
 
 
 def shard_trie(before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray) -> NgramTrie:
@@ -243,8 +243,9 @@ def scores(docs: DataFrame) -> DataFrame:
     every, ends = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
     shards = shard_count(spark, every, SHARD_TOKENS)
     words = checkpoint(count_words(ask_words(batches, shards), shards))
-    tidy(spark)
+    texts = checkpoint(batches.select("batch", "blob"))
+    forget(batches)
     found = [unpack(r["blob"])[0] for r in words.where("batch = -1").select("blob").toLocalIterator()]  # two numbers of each shard
     kinds, tokens = int(sum(f[0] for f in found)) + (ends > 0), int(sum(f[1] for f in found)) + ends
-    asked = ask_ngrams(batches, words.where("batch >= 0"), shards, shards, tokens, kinds, ends)
+    asked = ask_ngrams(texts, words.where("batch >= 0"), shards, shards, tokens, kinds, ends)
     return sum_up(score_ngrams(asked, tokens + kinds + 1), tokens)
