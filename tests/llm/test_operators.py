@@ -1,0 +1,203 @@
+"""The operators against their brute-force versions, over the odd corpus, with clashing columns, and over an empty table."""
+
+import math
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+
+from framelake.llm import bpe, lm, mixing, quality, repeats, secrets, sharding, simhash, syncmers, toxicity
+
+OPERATORS = {
+    "op1": (bpe.token_digests, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
+    "op2": (lm.scores, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]),
+    "op3": (secrets.secret_spans, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]),
+    "op6": (repeats.remove_repeats, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
+    "op9": (simhash.near_groups, ["doc_id", "fingerprint", "component_id"]),
+    "op10": (quality.quality_report, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]),
+}
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_against_brute_force(odd, corpus, name):
+    operator, columns = OPERATORS[name]
+    rows = operator(odd).collect()
+    want = [w[: len(columns)] for w in getattr(brute, name)(corpus)]
+    assert ordered(tuple(r[c] for c in columns) for r in rows) == ordered(want)
+
+
+@pytest.mark.parametrize("operator", [o for o, _ in OPERATORS.values()] + [syncmers.fingerprint_report, sharding.placements, mixing.mixture], ids=lambda f: f.__name__)
+def test_empty_table(empty, operator):
+    assert operator(empty).collect() == []
+
+
+def test_lm_base_and_held_out(table, corpus):
+    rows = lm.scores(table).collect()
+    base = Counter(round(w[5], 6) for w in brute.op2(corpus))
+    assert Counter(round(r["base_score"], 6) for r in rows) == base
+    assert all(r["score"] < 0 for r in rows)
+
+
+def test_lm_is_a_distribution():
+    """Over the known words, one unknown and the end, the probabilities after any pair of words sum to one."""
+    from framelake.llm.ngram_trie import NgramTrie
+
+    rng = np.random.default_rng(2)
+    grams = np.unique(rng.integers(0, 6, (60, 3)), axis=0)[:, [1, 0, 2]]
+    context, before, word = (grams[np.lexsort(grams.T[::-1])].T).copy()
+    order = np.lexsort((word, before, context))
+    context, before, word = context[order], before[order], word[order]
+    count = rng.integers(1, 9, len(word))
+    lower = np.array([0.3, 0.2, 0.2, 0.1, 0.1, 0.1])
+    trie = NgramTrie.from_buffer(NgramTrie.build(before, context, word, count, lower[word]).to_bytes())
+    for b in range(7):
+        for c in range(7):
+            p = trie.log10(np.full(6, b), np.full(6, c), np.arange(6), np.log10(lower))
+            assert math.isclose((10**p).sum(), 1.0, rel_tol=0.02)
+
+
+def test_trie_in_a_file(tmp_path):
+    from framelake.llm.ngram_trie import NgramTrie
+
+    a = np.array([1, 1, 2, 2, 5])
+    trie = NgramTrie.build(np.array([0, 3, 1, 1, 9]), a, np.array([4, 4, 1, 7, 1]), np.array([2, 1, 3, 1, 1]), np.full(5, 0.1))
+    trie.save(str(tmp_path / "t"))
+    again = NgramTrie.open(str(tmp_path / "t"))
+    ask = (np.array([0, 3, 1, 1, 9, 8, 8]), np.array([1, 1, 2, 2, 5, 1, 77]), np.array([4, 4, 1, 7, 1, 4, 4]), np.full(7, -1.0))
+    assert np.allclose(trie.log10(*ask), again.log10(*ask))
+    assert again.log10(*ask)[-1] == -1.0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for n in [*range(12), 57, 200]:
+        a = rng.integers(1, 4, n)
+        assert repeats.suffix_array(a).tolist() == sorted(range(n), key=lambda i: a[i:].tolist())
+        for need in (4, 7, 13):
+            found = [a[i : i + need].tolist() for i in repeats.suffix_array(a, need)]
+            assert found == sorted(found)
+
+
+def test_bpe_round_trip(table, corpus):
+    tokens = bpe.encode_documents(table)
+    back = Counter(r["text"] for r in bpe.decode_documents(tokens).collect())
+    assert back == Counter(t or "" for _, t in corpus)
+
+
+def test_secret_parts_need_each_other(spark):
+    weak = "Zq3xV9kPf2LmT8wRb5NcY7d1"
+    rows = [(1, f"user_id: alice then {weak} and https://db.example/x"), (2, f"{weak} alone"), (3, "user_id: alice alone https://db.example/x"), (4, "user_id: bob " + "word " * 200 + weak)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [s.split(":")[0] for s in found[1].split(",")] == ["name", "mixed", "address"]
+    assert found[2] == found[3] == found[4] == ""
+
+
+def test_secrets_stage_masks_whole_texts(odd, corpus):
+    out = secrets.secrets_stage(odd)
+    rows = out.collect()
+    assert out.columns == odd.columns and len(rows) == len(corpus)
+    text = next(r["text"] for r in rows if r["doc_id"] == 3001)
+    assert "Zx81" not in text and "AKIA" not in text and "0123456789abcdef" not in text and "token=short" in text
+    keep = {t for i, t in corpus if i not in (3001,)}
+    assert {r["text"] for r in rows if r["doc_id"] != 3001} == keep
+
+
+def test_syncmers(spark):
+    rows = [(i, t) for i, t in [(1, "alpha beta gamma delta epsilon zeta eta theta " * 6), (2, "one two three four five six seven eight nine " * 6), (3, "alpha beta gamma delta epsilon zeta eta theta " * 6), (4, None), (5, "é")]]
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {w[0]: w[1:] for w in brute.op4(rows)}
+    assert {k: (v["n_chars"], v["edited_sha256"]) for k, v in got.items()} == want
+    assert got[1]["fingerprint"] == got[3]["fingerprint"] != got[2]["fingerprint"]
+    assert got[4]["fingerprint"] == "" and all(0 <= r[c] <= 1 for r in got.values() for c in ("near_edited", "near_next"))
+    assert got[1]["near_edited"] > got[1]["near_next"]
+
+
+def test_syncmers_order_and_ends(table, corpus):
+    known = [(i, t) for i, t in corpus if i is not None and i != 2003]
+    got = syncmers.fingerprint_report(table.where("doc_id is not null and doc_id != 2003")).collect()
+    assert ordered((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == ordered(brute.op4(known))
+
+
+def test_sharding(table, corpus):
+    rows = sharding.placements(table).collect()
+    assert len(rows) == len(corpus)
+    filled = Counter(sharding.fill())
+    assert max(filled.values()) - min(filled.values()) <= 1
+    fewer = sharding.fill(sharding.SHARDS[:-1])
+    moved = sum(a != b for a, b in zip(sharding.fill(), fewer, strict=True))
+    assert moved < 0.2 * sharding.SLOTS
+    with pytest.raises(ValueError):
+        sharding.fill(("a", "b"), 8)
+
+
+def test_mixing(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randrange(0, 60), ["a", "b", "c", None][min(3, int(rng.expovariate(1)))]) for i in range(3000)] + [(1, "w w w", "a")] * 5 + [(None, "w w", "b"), (9999, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mixture(df).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["source_size"]].append(r)
+        assert r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+    for size, group in by.items():
+        assert sum(r["size"] for r in group) == size
+        assert abs(sum(r["taken"] for r in group) - group[0]["target"]) <= 60
+    total = sum(by)
+    assert abs(sum(g[0]["target"] for g in by.values()) - total) < 1e-6 * total
+    again = mixing.mixture(df.repartition(5)).collect()
+    assert ordered((r["doc_id"], r["size"], r["taken"]) for r in got) == ordered((r["doc_id"], r["size"], r["taken"]) for r in again)
+
+
+def test_toxicity(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    docs, labels = [], []
+    for i in range(1200):
+        toxic = i % 5 == 0
+        text = [rng.choice(words) for _ in range(rng.randrange(20, 80))]
+        if toxic:
+            for _ in range(3):
+                text.insert(rng.randrange(len(text)), rng.choice(["zwackhead", "grumblix", "Vorpface"]))
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    docs += [(5000, None), (5001, ""), (None, "plain")]
+    labels += [(None, 1, 1), (7000, None, None)]
+    args = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rows = toxicity.toxicity(*args).collect()
+    assert len(rows) == len(docs) and all(0 <= r["score"] <= 1 for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1200]
+    assert len(held) > 200
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held]) > 0.97
+    none = toxicity.toxicity(args[0], args[1].limit(0)).collect()
+    assert {r["predicted"] for r in none} == {0}
+    assert toxicity.toxicity(args[0].limit(0), args[1]).collect() == []
+
+
+def test_simhash_links_within_distance_only():
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    close = prints[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100, dtype=np.uint64))
+    every = np.concatenate([prints, close])
+    got = simhash.forest(np.sort(every), None)
+    assert len(got) == 100
+    for blocks in (6, 7, 8):
+        masks = simhash.block_masks(blocks)
+        for a, b in zip(prints[:100], close, strict=True):
+            assert any((int(a) ^ int(b)) & m == 0 for m in masks)
+
+
+def test_quality_rejects_repetition():
+    plain = " ".join(f"word{i} thing{i * 7 % 101}" for i in range(100)).encode()
+    assert quality.measure(plain)[6]
+    assert not quality.measure(b"the same ten words come over and over again here now " * 20)[6]
+    assert not quality.measure((" ".join(f"w{i}" for i in range(60)) + "\n").encode() * 1 + b"one long line that is said again and again\n" * 12)[6]
