@@ -107,7 +107,7 @@ def metadata(spark: SparkSession, path: str | None = None, **given: str | None)
 
 def timestamps(spark: SparkSession, path: str, column: int = 0, delimiter: str = ",", header: bool = False) -> DataFrame:
     """frame_idx, ts_raw from one column of delimited text, in the file's order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     rows = rows.where((F.length("line") > 0) & (F.col("n") >= int(header)))
     escaped = delimiter if delimiter.isalnum() else f"[{delimiter}]" if delimiter not in ("\t", " ") else delimiter
     return rows.select((F.col("n") - int(header)).cast("bigint").alias("frame_idx"), F.trim(F.get(F.split("line", escaped), F.lit(column or 0))).alias("ts_raw"))
