@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Ask for a collection of the driver's garbage: only with it go the shuffle files of plans that are done."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Ask for a collection of the driver's garbage: only with it go the shuffle files of plans that are done. What a first one lets go of, a second one finds."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def forget(df: DataFrame) -> None:
