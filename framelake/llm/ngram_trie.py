@@ -107,19 +107,28 @@ class NgramTrie:
     FIELDS = ("contexts", "weight2", "code2", "weight3", "code3", "steps_w2", "steps_2", "steps_w3", "steps_3")
 
     @classmethod
-    def build(cls, before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray) -> NgramTrie:
-        """From different n-grams (before, context, word), ordered by context, then before, then word; lower: the word's probability without context."""
+    def build(cls, before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, pairs: tuple[np.ndarray, ...] | None = None) -> NgramTrie:
+        """From different n-grams (before, context, word), ordered by context, then before, then word; lower: the word's probability without context.
+
+        pairs: context, word, count, lower, and the context's total and kinds of successors, ordered by context, then word: the successors of the contexts where
+        they were counted over more n-grams than these. Every n-gram's context and word are among them.
+        """
         self = cls()
-        at = _runs(context)
-        self.contexts = context[at]
-        parent = np.searchsorted(self.contexts, context)
-        total = np.add.reduceat(count, at).astype(float) if len(at) else np.zeros(0)
+        if pairs is None:
+            order = np.lexsort((word, context))
+            b, c, n, p1 = context[order], word[order], count[order], lower[order]
+            at2 = _runs(b, c)
+            b2, c2, n2, p1 = b[at2], c[at2], np.add.reduceat(n, at2) if len(at2) else n[:0], p1[at2]
+            at = _runs(b2)
+            total = np.add.reduceat(n2, at).astype(float) if len(at) else np.zeros(0)
+            kinds = np.diff(np.append(at, len(b2)))
+        else:
+            b2, c2, n2, p1, total, kinds = pairs
+            at = _runs(b2)
+            total, kinds = total[at].astype(float), kinds[at]
         # Successors of the contexts.
-        order = np.lexsort((word, parent))
-        b, c, n, p1 = parent[order], word[order], count[order], lower[order]
-        at2 = _runs(b, c)
-        b2, c2, n2, p1 = b[at2], c[at2], np.add.reduceat(n, at2) if len(at2) else n[:0], p1[at2]
-        kinds = np.bincount(b2, minlength=len(self.contexts))
+        self.contexts = b2[at]
+        parent, b2 = np.searchsorted(self.contexts, context), np.searchsorted(self.contexts, b2)
         w2 = DISCOUNT * kinds / np.maximum(total, 1)
         p2 = (n2 - DISCOUNT) / total[b2] + w2[b2] * p1
         self.after = Siblings(np.searchsorted(b2, np.arange(len(self.contexts) + 1)), c2)

@@ -1,0 +1,48 @@
+"""What an operator must not leave out: each test is a case that an earlier version cut short."""
+
+import random
+from collections import Counter
+from math import log10
+
+import brute
+
+from framelake.llm import lm
+
+
+def three_word_model(docs):
+    """Scores by one undivided model with absolute discounting of 0.75."""
+    tokens = [["<s>", "<s>", *brute.WORD.findall((t or "").translate(brute.FOLD)), None] for _, t in docs]
+    grams = [list(zip(w, w[1:], w[2:], strict=False)) for w in tokens]
+    c3 = Counter(g for (i, _), gs in zip(docs, grams, strict=True) if brute.trained(i) for g in gs)
+    c2, c1 = Counter(), Counter()
+    for (_, b, c), n in c3.items():
+        c2[b, c] += n
+        c1[c] += n
+    total3, total2, kinds3, kinds2 = Counter(), Counter(), Counter(), Counter()
+    for (a, b, _), n in c3.items():
+        total3[a, b] += n
+        kinds3[a, b] += 1
+    for (b, _), n in c2.items():
+        total2[b] += n
+        kinds2[b] += 1
+    n1 = sum(c1.values()) + len(c1) + 1
+
+    def p(a, b, c):
+        low = (c1[c] + 1) / n1
+        if total2[b]:
+            low = (max(c2[b, c] - 0.75, 0) + 0.75 * kinds2[b] * low) / total2[b]
+        if total3[a, b]:
+            low = (max(c3[a, b, c] - 0.75, 0) + 0.75 * kinds3[a, b] * low) / total3[a, b]
+        return low
+
+    return [sum(log10(p(*g)) for g in gs) for gs in grams]
+
+
+def test_lm_parted_contexts_back_off_to_the_whole_corpus(spark):
+    """So few words that the trie's steps are exact."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(3, 12)))) for i in range(25)]
+    rows = lm.scores(spark.createDataFrame(docs, "doc_id bigint, text string"), hot=15).collect()
+    got = {r["doc_id"]: r["score"] for r in rows}
+    for (i, _), want in zip(docs, three_word_model(docs), strict=True):
+        assert abs(got[i] - want) < 1e-4
