@@ -79,7 +79,7 @@ def _written(found: Column) -> Column:
 def linked(docs: DataFrame) -> DataFrame:
     """kd, kh, weak: the weak spans that are reported, by document key. docs: kd, kh, text."""
     some_name = F.col("text").contains("AKIA") | F.col("text").rlike(NAME)
-    some_weak = F.col("text").rlike(MIXED) | F.col("text").rlike(NAME)
+    some_weak = F.col("text").rlike(MIXED) | F.col("text").rlike(NAME) | F.col("text").rlike(ADDRESS)
     parts = docs.where(some_name & some_weak).select("kd", "kh", F.concat(*strong_spans(F.col("text")), *weak_spans(F.col("text"))).alias("parts"))
     parts = parts.dropDuplicates(["kd", "kh"]).select("kd", "kh", F.explode("parts").alias("s")).select("kd", "kh", "s.start", "s.kind", "s.end")
     strong, mixed = F.col("kind").isin(0, 1, 2), F.col("kind") == 4
