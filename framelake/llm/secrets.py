@@ -20,7 +20,7 @@ HEX = "[0-9a-f]+"
 KINDS = ("assign", "access", "hex")
 #: Weak candidates: a named identity, a mixed run, an address.
 NAME = r"""(?i:client_id|user_?name|user_?id|account_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
-MIXED = r"(?<![A-Za-z0-9/+=_.-])(?=[A-Za-z/+]*[0-9])(?=[A-Z0-9/+]*[a-z])(?=[a-z0-9/+]*[A-Z])[A-Za-z0-9/+]{20,128}(?![A-Za-z0-9/+=_.-])"
+MIXED = r"(?<![A-Za-z0-9/+])(?=[A-Za-z/+]*[0-9])(?=[A-Z0-9/+]*[a-z])(?=[a-z0-9/+]*[A-Z])[A-Za-z0-9/+]{20,}={0,2}"
 ADDRESS = r"""[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D"'<>]{3,}"""
 WEAK = ("name", "mixed", "address")
 REACH = 256
