@@ -5,14 +5,19 @@ things to the automaton built so far: the state that u leads to loses its arc v
 every state that still has an arc u gains an arc w into the state that v led to. As all arcs of one label lead to one
 state, that state is named by its label; a state split off by a gadget shares the arcs of the state it came from
 up to the time of the split, so that it is stored as (parent label, time of birth) and the cuts as (state, label) -> time.
-The sequences that the final automaton accepts are exactly the correct tokenisations; for each prefix of a word there is one,
-so that a word is encoded in one pass of table lookups over its bytes, whatever its length.
+The sequences that the final automaton accepts are exactly the correct tokenisations; for each prefix of a word there is one.
+
+For bytes it is composed with the tree of all labels, which is compiled to a complete table (state, byte) -> state: the state is the longest end of
+what was read that is the beginning of a label. Of the labels that end at a byte, exactly one has an arc from the state that the tokenisation before it leads to;
+it is the last token of the prefix. A word is encoded in one pass over its bytes, without trying and taking back, many words at
+a time; the last tokens, followed from the end, are the arcs taken. Decoding is one gather of the arcs' labels.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +40,14 @@ LATER = (
     "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
     "\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-#: Encoded words that a worker remembers at most; the memory is emptied when it is full.
-WORDS_KEPT = 400_000
+#: Encoded pieces that a worker remembers at most; the memory is emptied when it is full.
+PIECES_KEPT = 600_000
+#: A blank after white space.
+RUNS = re.compile(r"\s ")
+#: Bytes of the longest word that is encoded side by side with others; slots of the memory of pairs of tokens.
+SIDE_BY_SIDE, PAIR_SLOTS = 48, 1 << 18
+#: Ids whose labels are gathered at once.
+GATHERED = 65_536
 NEVER = 1 << 60
 
 
@@ -92,21 +103,55 @@ class MergeAutomaton:
         self.alive.add(w)
 
     def _finish(self) -> None:
-        self.arcs: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        for t in sorted(self.alive):
+        """The tree of the labels: each node's token, its depth, and the longest proper end that is a node (``fall``) or a token's (``ending``)."""
+        arcs: dict[int, int] = {}
+        ends, depth, parents = [-1], [0], [(0, 0)]
+        for t in sorted(self.alive, key=lambda t: (len(self.labels[t]), t)):
             node = 0
             for b in self.labels[t]:
-                key = node << 8 | b
-                node = self.arcs.get(key, -1)
-                if node < 0:
-                    node = self.arcs[key] = len(self.ends)
-                    self.ends.append(-1)
-            self.ends[node] = t
+                child = arcs.setdefault(node << 8 | b, len(ends))
+                if child == len(ends):
+                    ends.append(-1)
+                    depth.append(depth[node] + 1)
+                    parents.append((node, b))
+                node = child
+            ends[node] = t
         self.size = {t: len(self.labels[t]) for t in self.alive}
+        fall, ending = [0] * len(ends), [0] * len(ends)
+        for node in sorted(range(1, len(ends)), key=depth.__getitem__):
+            parent, b = parents[node]
+            low = fall[parent] if parent else -1
+            while low > 0 and low << 8 | b not in arcs:
+                low = fall[low]
+            low = fall[node] = arcs.get(low << 8 | b, 0) if low >= 0 else 0
+            ending[node] = low if ends[low] >= 0 else ending[low]
+        self.ends, self.depth, self.fall, self.ending = (np.array(x, dtype=np.int32) for x in (ends, depth, fall, ending))
+        self.arc_keys, self.arc_nodes = np.array(list(arcs), dtype=np.int64), np.array(list(arcs.values()), dtype=np.int32)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_words", "_chunks", "_steps", "_emit")}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _open(self) -> None:
+        """The complete table of transitions, and the merges as arrays."""
+        self._goto = np.zeros((len(self.ends), 256), dtype=np.int32)
+        order = np.argsort(self.arc_keys)
+        own, begins = self.arc_nodes[order], np.searchsorted(self.arc_keys[order], np.arange(len(self.ends) + 1) << 8)
+        byte = (self.arc_keys[order] & 255).astype(np.int64)
+        for level in np.split(by := np.argsort(self.depth, kind="stable"), np.flatnonzero(np.diff(self.depth[by])) + 1):
+            if self.depth[level[0]]:
+                self._goto[level] = self._goto[self.fall[level]]
+            sizes = begins[level + 1] - begins[level]
+            at = np.repeat(begins[level] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            self._goto[np.repeat(level, sizes), byte[at]] = own[at]
+        n = 1 + max(self.labels, default=0)
+        self._left, self._right, self._birth = (np.full(n, -1, dtype=np.int64) for _ in range(3))
+        for to, of in ((self._left, self.left), (self._right, self.right), (self._birth, self.birth)):
+            to[list(of)] = list(of.values())
+        keys = np.array(sorted(self.cut), dtype=np.int64)
+        self._cut_keys, self._cut_times = np.append(keys, NEVER), np.array([*(self.cut[k] for k in keys.tolist()), NEVER], dtype=np.int64)
+        self._pairs, self._ok = np.full(PAIR_SLOTS, -1, dtype=np.int64), np.zeros(PAIR_SLOTS, dtype=bool)
+        self._size = np.zeros(n, dtype=np.int64)
+        self._size[list(self.size)] = list(self.size.values())
 
     def follows(self, x: int, t: int) -> bool:
         """Whether the state that x leads to has an arc t: no gadget found both sides unmerged and cut it."""
@@ -125,122 +170,212 @@ class MergeAutomaton:
                 return True
             until, y = birth[y], right[y]
 
-    def _starting(self, word: bytes, at: int) -> list[int]:
-        """The tokens that start at a place of a word, shortest first."""
-        arcs, ends, node, found = self.arcs, self.ends, 0, []
-        for j in range(at, len(word)):
-            node = arcs.get(node << 8 | word[j], -1)
-            if node < 0:
-                break
-            if ends[node] >= 0:
-                found.append(ends[node])
-        return found
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The tokens of one word: the only path through the automaton that spells it.
+    def _all_follow(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """follows for many pairs."""
+        out = np.ones(len(x), dtype=bool)
+        at, y, z, first = np.arange(len(x)), x, t, t
+        until = by = np.full(len(x), NEVER)
+        while len(at):
+            key = y << 32 | z
+            spot = np.searchsorted(self._cut_keys, key)
+            time = np.where(self._cut_keys[spot] == key, self._cut_times[spot], NEVER)
+            no = (time < until) & (time <= by)
+            out[at[no]] = False
+            down, over = self._left[z], self._right[y]
+            deep = down >= 0
+            on = ~no & (deep | (over >= 0))
+            by, z = np.where(deep, self._birth[z], NEVER), np.where(deep, down, first)
+            until, y = np.where(deep, until, self._birth[y]), np.where(deep, y, over)
+            at, y, z, first, until, by = at[on], y[on], z[on], first[on], until[on], by[on]
+        return out
 
-        Longest arcs are tried first; a place from which the path can't go on is never entered again, so that the steps stay
-        in proportion to the length.
-        """
-        if not word:
-            return []
-        steps, size, n = self.__dict__.setdefault("_steps", {}), self.size, len(word)
-        out: list[int] = []
-        left: list[tuple[int, list[int]]] = []
-        dead: set[int] = set()
-        at, choices = 0, self._starting(word, 0)
-        while at < n:
-            while choices:
-                t = choices.pop()
-                end = at + size[t]
-                if end in dead:
-                    continue
-                if out:
-                    key = out[-1] << 32 | t
-                    ok = steps.get(key)
-                    if ok is None:
-                        if len(steps) > 500_000:
-                            steps.clear()
-                        ok = steps[key] = self.follows(out[-1], t)
-                    if not ok:
-                        continue
-                out.append(t)
-                left.append((at, choices))
-                at, choices = end, self._starting(word, end)
-                break
-            else:
-                dead.add(at)
-                out.pop()
-                at, choices = left.pop()
+    def _known_to_follow(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The same with a memory of pairs, of a fixed size."""
+        key = x << 32 | t
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_SLOTS.bit_length() + 1)).astype(np.int64)
+        new = np.flatnonzero(self._pairs[slot] != key)
+        out = self._ok[slot]
+        if len(new):
+            different, place = np.unique(key[new], return_inverse=True)
+            found = self._all_follow(different >> 32, different & 0xFFFFFFFF)
+            out[new] = found[place]
+            self._pairs[slot[new]], self._ok[slot[new]] = key[new], out[new]
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        split, later, slow = splitters()
-        if not chunk.isascii() and later.search(chunk):
-            split = slow
-        words, out = self.__dict__.setdefault("_words", {}), []
-        for word in split.findall(chunk):
-            ids = words.get(word)
-            if ids is None:
-                ids = np.array(self.encode_word(word.encode("utf-8", "replace")), dtype="<u4").tobytes()
-                if len(words) >= WORDS_KEPT:
-                    words.clear()
-                if len(word) <= 64:
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the words in a row, and how many each has."""
+        if "_goto" not in self.__dict__:
+            self._open()
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        counts = np.zeros(len(words), dtype=np.int64)
+        long = {i: self.encode_word(words[i]) for i in np.flatnonzero(length > SIDE_BY_SIDE).tolist()}
+        counts[list(long)] = [len(x) for x in long.values()]
+        some = np.flatnonzero((length > 0) & (length <= SIDE_BY_SIDE))
+        some = some[np.argsort(-length[some], kind="stable")]
+        size = length[some]
+        data = np.frombuffer(b"".join([words[i] for i in some.tolist()]), dtype=np.uint8)
+        start = np.cumsum(size) - size
+        most = int(size[0]) if len(size) else 0
+        last = np.full((most + 1, len(some)), -1, dtype=np.int64)
+        node = np.zeros(len(some), dtype=np.int32)
+        for j in range(most):
+            n = int(np.searchsorted(-size, -j, side="left"))
+            node = self._goto[node[:n], data[start[:n] + j]]
+            ask, at = np.arange(n), np.where(self.ends[node] >= 0, node, self.ending[node])
+            while len(ask):
+                t = self.ends[at].astype(np.int64)
+                before = last[j + 1 - self.depth[at], ask]
+                ok = before < 0
+                ok[~ok] = self._known_to_follow(before[~ok], t[~ok])
+                last[j + 1, ask[ok]] = t[ok]
+                ask, at = ask[~ok], self.ending[at[~ok]]
+        # From the end of each word back over its tokens.
+        open_, left, steps = np.arange(len(some)), size.copy(), []
+        while len(open_):
+            t = last[left, open_]
+            steps.append((some[open_], t))
+            counts[some[open_]] += 1
+            left = left - self._size[t]
+            open_, left = open_[left > 0], left[left > 0]
+        first = np.cumsum(counts) - counts
+        ids = np.zeros(int(counts.sum()), dtype="<u4")
+        for k, (of, t) in enumerate(steps):
+            ids[first[of] + counts[of] - 1 - k] = t
+        for i, x in long.items():
+            ids[first[i] : first[i] + len(x)] = x
+        return ids, counts
 
-    def _plain(self, text: str, out: list[bytes]) -> None:
-        """Ids of a text without special tokens. No word goes over the start of a white run, so that the text is cut at blanks
-        that follow anything but white space, and pieces seen before need no split."""
-        known = self.__dict__.setdefault("_chunks", {})
-        pieces = iter(text.split(" "))
-        piece, lead = next(pieces), ""
-        while piece is not None:
-            ids = known.get(piece) if lead else None
-            if ids is None:
-                chunk = lead + piece
-                if piece and not piece[-1].isspace():
-                    ids = self._chunk(chunk)
-                    if lead and len(piece) <= 32:
-                        if len(known) >= WORDS_KEPT:
-                            known.clear()
-                        known[piece] = ids
+    def encode_word(self, word: bytes) -> list[int]:
+        """The tokens of one word, of any length."""
+        if "_goto" not in self.__dict__:
+            self._open()
+        node, last, seen = 0, [-1], {}
+        for j, b in enumerate(word):
+            node = int(self._goto[node, b])
+            at = node if self.ends[node] >= 0 else int(self.ending[node])
+            while True:
+                t, before = int(self.ends[at]), last[j + 1 - int(self.depth[at])]
+                ok = before < 0 or seen.get(before << 32 | t)
+                if ok is None:
+                    ok = seen[before << 32 | t] = self.follows(before, t)
+                if ok:
+                    break
+                at = int(self.ending[at])
+            last.append(t)
+        out, at = [], len(word)
+        while at:
+            out.append(last[at])
+            at -= self.size[out[-1]]
+        return out[::-1]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces behind a blank."""
+        fast, later, slow = splitters()
+        plain, apart = [], []
+        for p in pieces:
+            (apart if not p or " " in p or p[-1].isspace() else plain).append(p)
+        joined = " ".join(["", *plain])
+        if not joined.isascii() and later.search(joined):
+            odd = {p for p in plain if later.search(p)}
+            plain, apart = [p for p in plain if p not in odd], [*apart, *odd]
+            joined = " ".join(["", *plain])
+        # A blank begins a piece, and nothing but the begin of a piece.
+        words = fast.findall(joined) if plain else []
+        begins = [i for i, w in enumerate(words) if w[0] == " "]
+        for p in apart:
+            begins.append(len(words))
+            words += (slow if later.search(p) else fast).findall(" " + p)
+        return dict(zip([*plain, *apart], self._ids(words, begins), strict=True))
+
+    def _ids(self, words: list[str], begins: list[int]) -> list[bytes]:
+        """The ids of words in a row, cut where the named words begin."""
+        ids, counts = self.encode_words(list(map(str.encode, words)))
+        edges = 4 * np.concatenate([[0], np.cumsum(counts)])[np.array([*begins, len(words)], dtype=np.int64)]
+        edges, flat = edges.tolist(), ids.tobytes()
+        return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        No word goes over the start of a white run, so that a text is cut at the blanks that follow anything but white space, and pieces seen before need no
+        split; what is new in all the texts is encoded together. Special tokens stand for themselves.
+        """
+        if "_known" not in self.__dict__:
+            self._known: dict[str, bytes] = {}
+        fast, later, slow = splitters()
+        # Parts of texts; a part is its first words, which have no blank before them, and the pieces behind its blanks.
+        parts: list[tuple[int, bytes]] = []
+        firsts: list[str] = []
+        begins, pieces, edges = [], [], [0]
+        for i, text in enumerate(texts):
+            for part in regex.split("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")", text) if self.special and any(s in text for s in self.special) else (text,):
+                if part in self.special:
+                    parts.append((i, self.special[part].to_bytes(4, "little")))
+                    cut = []
                 else:
-                    run = [chunk]
-                    for more in pieces:
-                        run.append(more)
-                        if more and not more[-1].isspace():
-                            break
-                    ids = self._chunk(" ".join(run))
-            out.append(ids)
-            piece, lead = next(pieces, None), " "
+                    parts.append((i, b""))
+                    cut = whole_runs(part.split(" ")) if part[0:1] == " " or RUNS.search(part) else part.split(" ")
+                begins.append(len(firsts))
+                if cut and cut[0]:
+                    firsts += (slow if not cut[0].isascii() and later.search(cut[0]) else fast).findall(cut[0])
+                pieces += cut[1:]
+                edges.append(len(pieces))
+        known = self._known
+        got = list(map(known.get, pieces))
+        new = list({p for p, g in zip(pieces, got, strict=True) if g is None})
+        if new:
+            fresh = self._learn(new)
+            got = [fresh[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
+            if len(known) + len(fresh) > PIECES_KEPT:
+                known.clear()
+            known.update((p, x) for p, x in fresh.items() if len(p) <= 32)
+        out: list[list[bytes]] = [[] for _ in texts]
+        for (i, special), first, a, b in zip(parts, self._ids(firsts, begins), edges, edges[1:], strict=False):
+            out[i] += [special, first, *got[a:b]]
+        return [b"".join(x) for x in out]
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        if self.special and any(s in text for s in self.special):
-            for part in regex.split("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")", text):
-                if part in self.special:
-                    out.append(self.special[part].to_bytes(4, "little"))
-                elif part:
-                    self._plain(part, out)
-        else:
-            self._plain(text, out)
+        return self.encode_batch([text])[0]
+
+    def emitted(self, ids: np.ndarray) -> bytes:
+        """The labels of the arcs that the ids name, in a row."""
+        if "_blob" not in self.__dict__:
+            emit = self.labels | {i: s.encode("utf-8") for s, i in self.special.items()}
+            every = [emit.get(i, b"") for i in range(max(emit, default=-1) + 1)]
+            self._blob = np.frombuffer(b"".join(every), dtype=np.uint8)
+            self._sizes = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+            self._starts = np.cumsum(self._sizes) - self._sizes
+        out = []
+        for at in range(0, len(ids), GATHERED):
+            some = ids[at : at + GATHERED]
+            sizes = self._sizes[some]
+            skip = self._starts[some] - (np.cumsum(sizes) - sizes)
+            out.append(self._blob[np.repeat(skip, sizes) + np.arange(int(sizes.sum()))].tobytes())
         return b"".join(out)
 
     def decode(self, ids) -> str:
-        """The labels of the arcs that the ids name, as text."""
-        emit = self.__dict__.setdefault("_emit", self.labels | {i: s.encode("utf-8") for s, i in self.special.items()})
-        return b"".join(map(emit.__getitem__, ids)).decode("utf-8", "replace")
+        """What the ids spell, as text; bytes that are none are replaced."""
+        return self.emitted(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
+
+
+def whole_runs(cut: list[str]) -> list[str]:
+    """Pieces between blanks, with those joined again whose blank follows white space."""
+    out, k = [], 0
+    while k < len(cut):
+        end = k
+        while end + 1 < len(cut) and (not cut[end] or cut[end][-1].isspace()):
+            end += 1
+        out.append(" ".join(cut[k : end + 1]))
+        k = end + 1
+    return out
 
 
 @lru_cache(maxsize=1)
-def splitters() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
+def splitters() -> tuple[regex.Pattern, re.Pattern, regex.Pattern]:
     """The split, what asks for the other one, and the one that takes LATER for symbols."""
     letters, digits = rf"[\p{{L}}--[{LATER}]]", rf"[\p{{N}}--[{LATER}]]"
     slow = SPLIT.replace(r"[^\s\p{L}\p{N}]", "@").replace(r"\p{L}", letters).replace(r"\p{N}", digits).replace("@", rf"(?:[^\s\p{{L}}\p{{N}}]|[{LATER}])")
-    return regex.compile(SPLIT), regex.compile(f"[{LATER}]"), regex.compile(slow, regex.V1)
+    return regex.compile(SPLIT), re.compile(f"[{LATER}]"), regex.compile(slow, regex.V1)
 
 
 @lru_cache(maxsize=4)
@@ -249,15 +384,15 @@ def compiled(path: str) -> MergeAutomaton:
 
 
 def _over_texts(df: DataFrame, path: str, keep: list[str], text: str, more: list[T.StructField], row) -> DataFrame:
-    """keep, then what row(automaton, text) gives, for every row; the automaton's size is that of its vocabulary."""
+    """keep, then what row(automaton, ids) gives, for every row; the automaton's size is that of its vocabulary."""
     shared = df.sparkSession.sparkContext.broadcast(compiled(path))
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = T.StructType([*fields, *more])
 
     def run(batches):
         machine = shared.value
-        for batch in slices(batches, 256):
-            got = [row(machine, x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        for batch in slices(batches, 512):
+            got = [row(machine, ids) for ids in machine.encode_batch([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])]
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
             made = [pa.array([g[i] for g in got], type=kinds[i]) for i in range(len(more))]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[f.name for f in schema.fields])
@@ -269,7 +404,7 @@ def _over_texts(df: DataFrame, path: str, keep: list[str], text: str, more: list
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and ``token_ids`` of every row. Null and empty texts have no tokens; repeated rows stay; no row is moved."""
     more = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False)]
-    return _over_texts(docs, path or default_vocabulary(), list(keep), text, more, lambda m, x: (np.frombuffer(m.encode(x), "<u4").astype(np.int32),))
+    return _over_texts(docs, path or default_vocabulary(), list(keep), text, more, lambda m, ids: (np.frombuffer(ids, "<i4"),))
 
 
 def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -293,10 +428,11 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     not read. An empty table gives an empty result. Nothing is shuffled.
     """
 
-    def row(machine: MergeAutomaton, text: str):
-        ids = machine.encode(text)
-        decoded = machine.decode(np.frombuffer(ids, "<u4").tolist())
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
+    def row(machine: MergeAutomaton, ids: bytes):
+        decoded = machine.emitted(np.frombuffer(ids, "<u4"))
+        if not decoded.isascii():
+            decoded = decoded.decode("utf-8", "replace").encode("utf-8")
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     more = [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)]
     return _over_texts(pick(docs, "doc_id", "text"), path or default_vocabulary(), ["doc_id"], "text", more, row)
