@@ -1,20 +1,22 @@
-"""Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
-
-A window is a word between blanks (long words in pieces) after a lead that both dictionaries know, so that its compressed length is that of the word
-alone; every byte is followed by its complement, here and in the dictionaries, so that a match of a few letters pays. A window that has no four bytes in a row
-of the toxic dictionary gains nothing from it and isn't compressed. A window that is shorter by some bytes with the toxic dictionary than with the ordinary one is a hit; the thresholds are calibrated on ordinary
-training texts. A text's hits, their share of its windows and the largest gain make its score by a logistic regression that is fitted on other
-training texts than the dictionaries. Labels are learned from training rows only; nothing but the text enters a score.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
+
+A window is a word without the marks at its ends, between blanks (long words in pieces), after a short lead that all dictionaries know; every byte is followed by its
+complement, here and in the dictionaries, so that a match of three letters pays. zstandard's trainer makes three dictionaries: one of ordinary training texts, and one of each
+half of the toxic ones that are set aside for it. It counts the texts that have a string, so that a text gives it each of its words once, doubled (short words are then
+long enough to be counted). The distance of a window is its compressed length with the ordinary dictionary less that with the toxic and the ordinary one together; the
+smaller of the two halves' counts, because what one half has by chance the other has not. Every window is compressed; lengths of windows seen before are
+remembered. Thresholds on distances are calibrated on ordinary training texts that made no dictionary. A text's windows beyond each threshold, their share and the largest distance make its score
+by a logistic regression that is fitted on the texts that made no dictionary. Labels are learned from training rows only; nothing but the text enters a score.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,20 +25,20 @@ from framelake.llm.common import pick, slices, texts_as_bytes
 
 #: Labelled rows of each class that are learned from at most (those of least hash): the bound of the sample that reaches the driver.
 SAMPLE = 4000
-#: Bytes of the ordinary dictionary and of the toxic one's own part.
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
-#: Strings of a word of this length are told apart by class: in this share of the toxic texts at least, and so many times as often as in ordinary ones.
-GRAM, MIN_SHARE, MIN_RATIO = 5, 0.02, 20.0
+#: Bytes of the dictionaries; the trainer's segments and the strings it counts.
+ORDINARY_BYTES, TOXIC_BYTES = 110_000, 16_384
+SEGMENT, COUNTED = 24, 8
+#: Toxic dictionaries, of disjoint parts of the toxic texts; every how manieth text makes no dictionary but the thresholds and the regression.
+PARTS, ASIDE = 2, 2
 #: Longest window, and what precedes it.
 PIECE = 40
-LEAD = b"0123456789abcdef0123456789ABCDEF"
-LEVEL = 12
-#: Share of the windows of ordinary training texts that may be hits, for each threshold.
-HIT_RATES = (1e-2, 1e-3, 1e-4)
-WORDS_KEPT = 300_000
+LEAD = b"01234567"
+#: zstandard's match finder: binary trees, matches of three letters at least.
+FINDER = {"strategy": zstandard.STRATEGY_BTLAZY2, "min_match": 6, "search_log": 5, "hash_log": 17, "chain_log": 18, "window_log": 18, "target_length": 12}
+#: Share of the ordinary training texts that may have a window beyond each threshold.
+HIT_RATES = (0.05, 0.01, 0.002)
+WORDS_KEPT = 600_000
 CUT = 0.3
-#: Bytes in a row that a window must have in common with the toxic dictionary to gain from it.
-COMMON = 4
 _OTHER = bytes(255 - b for b in range(256))
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _EDGE = b".,;:!?\"'()[]{}<>*&%$#|-_~`"
@@ -62,74 +64,72 @@ def held_out(doc_id: Column, of: int, at: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == at
 
 
+def windows(word: bytes) -> list[bytes]:
+    """The windows of a word."""
+    word = word.strip(_EDGE) or word
+    return [b" " + p + b" " for p in pieces(word)]
+
+
 @dataclass
 class Model:
-    """The two dictionaries, the thresholds and the regression; it is as large as its dictionaries, whatever the data."""
+    """The dictionaries, the thresholds and the regression; it is as large as its dictionaries, whatever the data."""
 
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
     bars: tuple[int, ...] = ()
     weights: tuple[float, ...] = ()
     known: dict = field(default_factory=dict, repr=False)
+    seen: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return {"ordinary": self.ordinary, "toxic": self.toxic, "bars": self.bars, "weights": self.weights}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, known={})
+        self.__dict__.update(state, known={}, seen={})
 
-    def _lengths(self):
+    def _compressors(self):
         if "_compress" not in self.__dict__:
 
             def made(content: bytes):
                 dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=2 * (PIECE + 2 + len(LEAD)), dict_size=len(content), write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                how = zstandard.ZstdCompressionParameters(**FINDER, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
                 dictionary.precompute_compress(compression_params=how)
                 return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress
 
-            self._compress = made(wide(self.ordinary + LEAD)), made(wide(self.toxic + self.ordinary + LEAD))
-            self._common = {self.toxic[i : i + COMMON] for i in range(len(self.toxic) - COMMON + 1)}
+            self._compress = made(wide(self.ordinary + LEAD)), [made(wide(t + self.ordinary + LEAD)) for t in self.toxic]
         return self._compress
 
+    def distance(self, window: bytes) -> int:
+        """Bytes that every toxic dictionary saves beside the ordinary one; 0 at least."""
+        ordinary, toxic = self._compressors()
+        window = wide(LEAD + window)
+        least = alone = len(ordinary(window))
+        for compress in toxic:
+            least = min(least, alone - len(compress(window)))
+            if least <= 0:
+                return 0  # the least of the parts counts
+        return least if toxic else 0
+
     def gain(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves over the ordinary one."""
-        got = self.known.get(word)
-        if got is None:
-            a, b = self._lengths()
-            got, common = 0, self._common
-            for p in pieces(word):
-                p = b" " + p + b" "
-                if any(p[i : i + COMMON] in common for i in range(len(p) - COMMON + 1)):
-                    p = wide(LEAD + p)
-                    got = max(got, len(a(p)) - len(b(p)))
-            if len(self.known) >= WORDS_KEPT:
-                self.known.clear()
-            self.known[word] = got
+        """The largest distance of a word's windows."""
+        got = 0
+        for w in windows(word):
+            one = self.seen.get(w)
+            if one is None:
+                one = self.distance(w)
+                if len(self.seen) >= WORDS_KEPT:
+                    self.seen.clear()
+                self.seen[w] = one
+            got = max(got, one)
+        if len(self.known) >= WORDS_KEPT:
+            self.known.clear()
+        self.known[word] = got
         return got
 
-    def _suspects(self, text: bytes) -> np.ndarray:
-        """Where four bytes stand that may be of the toxic dictionary: a table of 65,536 slots, whose chance hits gain() refuses."""
-        if "_slots" not in self.__dict__:
-            self._slots = np.zeros(65536, dtype=bool)
-            self._slots[self._slot(self.toxic)] = True
-        return np.flatnonzero(self._slots[self._slot(text)])
-
-    @staticmethod
-    def _slot(text: bytes) -> np.ndarray:
-        a = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
-        if len(a) < COMMON:
-            return np.zeros(0, dtype=np.int64)
-        return ((a[:-3] | a[1:-2] << np.uint32(8) | a[2:-1] << np.uint32(16) | a[3:] << np.uint32(24)) * np.uint32(2654435761)) >> np.uint32(16)
-
     def features(self, text: bytes) -> list[float]:
         words = words_of(text)
-        gains: list[int] = []
-        if words:
-            at = self._suspects(b" " + b" ".join(words) + b" ")
-            if len(at):
-                starts = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-                found = np.unique(np.minimum(np.searchsorted(starts, at, side="right"), len(words) - 1))
-                gains = [self.gain(words[i]) for i in found.tolist()]
+        gains = [g if g is not None else self.gain(w) for w, g in zip(words, map(self.known.get, words), strict=True)]
+        gains = [g for g in gains if g]
         out = [float(max([0, *gains]))]
         for bar in self.bars:
             hits = sum(g >= bar for g in gains)
@@ -141,56 +141,34 @@ class Model:
         return 1 / (1 + exp(-max(-30.0, min(30.0, x))))
 
 
-def _grams(words: list[bytes]) -> set[bytes]:
-    return {t[i : i + GRAM] for w in set(words) for t in (b" " + w.strip(_EDGE) + b" ",) for i in range(len(t) - GRAM + 1)}
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """What zstandard's trainer picks; samples too few or too alike for it are taken as they are."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
-
-
-def telling_parts(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """The parts of toxic texts' words that are made of strings frequent there and rare in ordinary text, the most frequent last; texts count once each."""
-    seen_t, seen_o = Counter(), Counter()
-    for words in toxic:
-        seen_t.update(_grams(words))
-    for words in ordinary:
-        seen_o.update(_grams(words))
-    tell = {g for g, c in seen_t.items() if c >= max(2, MIN_SHARE * len(toxic)) and c / len(toxic) >= MIN_RATIO * (seen_o[g] + 0.5) / max(1, len(ordinary))}
-    parts: Counter[bytes] = Counter()
-    for words in toxic:
-        found = set()
-        for w in set(words):
-            t, at = b" " + w.strip(_EDGE) + b" ", 0
-            while at <= len(t) - GRAM:
-                end = at
-                while end <= len(t) - GRAM and t[end : end + GRAM] in tell:
-                    end += 1
-                if end > at:
-                    found.add(t[at : end + GRAM - 1])
-                at = max(end, at + 1)
-        parts.update(found)
-    return [p for p, _ in sorted(parts.items(), key=lambda x: (x[1], x[0]))]
+def trained_dictionary(texts: list[bytes], size: int) -> bytes:
+    """The trainer's dictionary of texts, each as its different words, doubled; of the sizes size, size / 2, ... the largest that the texts are enough for.
+
+    Texts too few for any are the dictionary themselves.
+    """
+    samples = [b" " + b" ".join(w + b" " + w for w in dict.fromkeys(words_of(t))) + b" " for t in texts]
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(samples)
 
 
 def train(rows: list[tuple[bytes, int]], prior: float) -> Model:
     """rows: (text, label). prior: the share of label 1 among all training rows. One class only, or none: every score is the prior."""
-    rows = list(dict.fromkeys(rows))
-    toxic, ordinary = [words_of(t) for t, y in rows if y == 1], [words_of(t) for t, y in rows if y != 1]
+    rows = sorted(dict.fromkeys(rows), key=lambda r: (xxhash.xxh64_intdigest(r[0]), r))
+    toxic, ordinary = [t for t, y in rows if y == 1], [t for t, y in rows if y != 1]
     base = log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     if not toxic or not ordinary:
-        return Model(b"", b"", (1,), (base, 0.0, 0.0, 0.0))
-    flat = [b" " + p + b" " for words in ordinary[::2] for w in words for p in pieces(w)]
-    parts = telling_parts(toxic[::2], ordinary[::2])
-    model = Model(_dictionary(flat[:200_000], ORDINARY_BYTES), _dictionary([p * 2 for p in parts], TOXIC_BYTES)[-TOXIC_BYTES:] if len(parts) > 2000 else b"".join(parts)[-TOXIC_BYTES:])
-    gains = np.concatenate([[0], *[[model.gain(w) for w in words] for words in ordinary[1::2]]])
-    model.bars = tuple(sorted({max(1, int(np.quantile(gains, 1 - r, method="higher")) + 1) for r in HIT_RATES}))
+        return Model(b"", (), (1,), (base, 0.0, 0.0, 0.0))
+    made = {id(c): [t for i, t in enumerate(c) if i % ASIDE] or c for c in (toxic, ordinary)}
+    halves = [made[id(toxic)][i::PARTS] for i in range(PARTS)]
+    model = Model(trained_dictionary(made[id(ordinary)], ORDINARY_BYTES), tuple(trained_dictionary(h, TOXIC_BYTES) for h in halves if h))
+    largest = np.array([max([0, *map(model.gain, words_of(t))]) for t in ordinary[::ASIDE]])
+    model.bars = tuple(sorted({int(np.quantile(largest, 1 - r, method="higher")) + 1 for r in HIT_RATES}))
     # The regression: Newton steps with a small ridge, classes weighted back to the prior.
-    other = [(b" ".join(w), y) for half, y in ((toxic[1::2] or toxic, 1), (ordinary[1::2] or ordinary, 0)) for w in half]
+    other = [(t, y) for half, y in ((toxic[::ASIDE], 1), (ordinary[::ASIDE], 0)) for t in half]
     y = np.array([v for _, v in other], dtype=float)
     x = np.array([[1.0, *model.features(t)] for t, _ in other])
     weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
@@ -213,7 +191,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list
     """Texts and labels of the training rows of least hash, ``rows`` of each class at most, and the share of label 1 among all training rows."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(~held_out(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {int(r["toxic"] == 1): r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = {int(r["toxic"]): r["n"] for r in marks.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     h = F.xxhash64("doc_id")
     picked = marks.where("toxic = 1").orderBy(h, "doc_id").limit(rows).unionByName(marks.where("toxic != 1").orderBy(h, "doc_id").limit(rows))
@@ -225,12 +203,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
-    Null and empty texts have the score of a text without hits; null doc_ids and repeated rows are kept; labels without a document, and rows of ``labels``
-    with a null, are not learned from (of several labels of one doc_id the largest counts); no labels at all: every score is 0. An empty table gives an empty
+    Null and empty texts have the score of a text without hits; null doc_ids and repeated rows are kept; labels without a document count in the share of toxic ones only; rows of ``labels``
+    with a null are not learned from (of several labels of one doc_id the largest counts); no labels at all: every score is 0. An empty table gives an empty
     result; other columns are not read. Texts are scored where they lie: nothing is shuffled but labels.
     """
     model = train(*sample(docs, labels, rows))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries: some 20 kB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # three dictionaries: some 150 kB
 
     def run(batches):
         scorer = shared.value

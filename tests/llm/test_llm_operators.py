@@ -183,6 +183,40 @@ def test_toxicity(spark):
     assert toxicity.toxicity(args[0].limit(0), args[1]).collect() == []
 
 
+def test_toxicity_scores_by_brute_force():
+    """Every window compressed anew by every dictionary, nothing remembered."""
+    import random
+    from math import exp, log1p
+
+    import zstandard
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = [(" ".join([*(rng.choice(words) for _ in range(rng.randrange(5, 40))), *(["grumblix", "vorpface", "zwackhead"] * (i % 3 == 0))]).encode(), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.train(texts, 1 / 3)
+    how = zstandard.ZstdCompressionParameters(**toxicity.FINDER, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(dictionary, window):
+        d = zstandard.ZstdCompressionDict(toxicity.wide(dictionary + toxicity.LEAD), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(toxicity.wide(toxicity.LEAD + window)))
+
+    def score(text):
+        gains = []
+        for word in text.lower().split():
+            alone = [length(model.ordinary, w) for w in toxicity.windows(word)]
+            gains.append(max(max(0, min(a - length(t + model.ordinary, w) for t in model.toxic)) for a, w in zip(alone, toxicity.windows(word), strict=True)))
+        x = [1.0, float(max([0, *gains]))]
+        for bar in model.bars:
+            hits = sum(g >= bar for g in gains)
+            x += [log1p(hits), min(1.0, 10 * hits / max(1, len(gains)))]
+        return 1 / (1 + exp(-sum(a * b for a, b in zip(model.weights, x, strict=True))))
+
+    odd = [b"", b" \n ", b"... !!!", ("grumblix" * 30).encode(), "é, Grumblix!".encode()]
+    for text in [*(t for t, _ in texts[:12]), *odd]:
+        assert abs(model.score(text) - score(text)) < 1e-9
+    assert min(model.score(t) for t, y in texts if y) > toxicity.CUT > np.mean([model.score(t) for t, y in texts if not y])
+
+
 def test_simhash_links_within_distance_only():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 2**63, 400, dtype=np.uint64)
