@@ -3,8 +3,9 @@
 Words travel as hashes until the shards of the vocabulary, which count them, give each a number; frequent words get small ones. An n-gram belongs to its context, the word before the
 predicted one, and goes to that context's shard, which has all its training counts: it builds the trie of its contexts and scores all texts' n-grams with it, so that counting and
 scoring are one exchange. The unigram probability of a word goes along with the question. A context with more than HOT_TOKENS training tokens is parted by
-the word before it, so that no shard has to hold all of a very frequent word; the counts of its pairs (context, word) are summed over the whole corpus in an exchange
-before, in which a batch asks about each different pair once, and go along with the question, so that every part backs off to the same two-word level.
+the word before it (the start of a text by the word after it), so that no shard has to hold all of a very frequent word; the counts of its pairs (context, word) are summed over the whole corpus in an exchange
+before, in which a batch asks about each different pair once, and go along with the question, so that every part backs off to the same two-word level. Logarithms are whole
+steps, and their sums are whole numbers: the model, and every score to the last digit, are the same whatever the shards, batches, tries and parts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.blobs import NO_ID, by_shard, column, deltas, mix, pack, shard_count, text_batches, union_of, unpack
 from framelake.llm.common import checkpoint, forget, tidy
-from framelake.llm.ngram_trie import NgramTrie
+from framelake.llm.ngram_trie import DISCOUNT, STEPS, NgramTrie, quantised
 from framelake.llm.toxicity import words_of
 
 #: Training and scored tokens of a shard, about; training tokens of a context that isn't parted.
@@ -134,8 +135,8 @@ def _read(blob: bytes, ends: int) -> tuple[np.ndarray, ...]:
 
 
 def _shares(count_of: np.ndarray, middle: np.ndarray, hot: int) -> np.ndarray:
-    """Parts of the contexts."""
-    return np.where(middle == START, 1, -(-count_of[middle] // hot)).clip(1)
+    """Parts of the contexts; the start is as frequent as the end."""
+    return (-(-np.where(middle == START, count_of[END], count_of[middle]) // hot)).clip(1)
 
 
 def _hot_pairs(names: np.ndarray, count_of: np.ndarray, middle: np.ndarray, word: np.ndarray, hot: int, shards: int) -> tuple[np.ndarray, ...]:
@@ -231,7 +232,7 @@ def ask_ngrams(batches: DataFrame, pairs: DataFrame, shards: int, tokens: int, k
         n_known = np.bincount(doc, weights=count_of[word] > 0, minlength=len(sizes)).astype(np.int64)
         rows = [(-1 - batch % shards, pack(ids, held, sizes + 1, n_known, base))]
         share = _shares(count_of, middle, hot)
-        context = names[middle] | (_mixed(names[before]) % share.astype(np.uint64)).astype(np.int64) << _PART
+        context = names[middle] | (_mixed(names[np.where(middle == START, word, before)]) % share.astype(np.uint64)).astype(np.int64) << _PART
         different, place = np.unique(context, return_inverse=True)
         shard = (_mixed(different) % np.uint64(shards)).astype(np.int64)
         by = np.lexsort((different, shard))
@@ -258,9 +259,9 @@ def ask_ngrams(batches: DataFrame, pairs: DataFrame, shards: int, tokens: int, k
     return union_of(batches, pairs).groupBy("batch").applyInArrow(run, "batch bigint, part int, blob binary")
 
 
-def shard_trie(before: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, pairs: tuple[np.ndarray, ...] | None = None) -> NgramTrie:
+def shard_trie(*args) -> NgramTrie:
     """Built, written flat and opened again, as from a file."""
-    return NgramTrie.from_buffer(NgramTrie.build(before, context, word, count, lower, pairs).to_bytes())
+    return NgramTrie.from_buffer(NgramTrie.build(*args).to_bytes())
 
 
 def _second_level(spot: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, pair: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -275,8 +276,8 @@ def _second_level(spot: np.ndarray, word: np.ndarray, count: np.ndarray, lower:
     return b, word[first], n, lower[word[first]], np.where(whole, total[b], own_total[b - base]), np.where(whole, kinds[b], own_kinds[b - base])
 
 
-def _scores(spot: np.ndarray, before: np.ndarray, word: np.ndarray, train: np.ndarray, lower: np.ndarray, pair: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """log10 probabilities of n-grams in order, from those of them that are for training; of parted contexts the pairs' counts, the totals and kinds are given."""
+def _scores(spot: np.ndarray, before: np.ndarray, word: np.ndarray, train: np.ndarray, lower: np.ndarray, pair: np.ndarray, total: np.ndarray, kinds: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Steps below zero of n-grams in order, from those of them that are for training; of parted contexts the pairs' counts, the totals and kinds are given."""
     new = np.ones(len(spot), dtype=bool)
     new[1:] = (spot[1:] != spot[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])
     begins = np.flatnonzero(new)
@@ -284,8 +285,12 @@ def _scores(spot: np.ndarray, before: np.ndarray, word: np.ndarray, train: np.nd
     spot, before, word = spot[begins].astype(np.int64), before[begins].astype(np.int64), word[begins].astype(np.int64)
     seen = count > 0
     pairs = _second_level(spot, word, count, lower, pair[begins], total, kinds) if total[spot[0] : spot[-1] + 1].any() else None
-    trie = shard_trie(before[seen], spot[seen], word[seen], count[seen], lower[word[seen]], pairs)
-    return trie.log10(before, spot, word, np.log10(lower)[word])[np.cumsum(new) - 1]
+    trie = shard_trie(before[seen], spot[seen], word[seen], count[seen], lower[word[seen]], pairs, single)
+    out = trie.steps(before, spot, word, quantised(np.log10(lower))[word])
+    # A part of a context none of whose own pairs was seen still backs off from the context (and from the pair that a start is).
+    bare = np.flatnonzero((total[spot] > 0) & ~np.isin(spot, trie.contexts))
+    out[bare] += quantised(np.log10(DISCOUNT * kinds[spot[bare]] / total[spot[bare]])).astype(np.int64) * np.where(np.isin(spot[bare], single), 2, 1)
+    return out[np.cumsum(new) - 1]
 
 
 def score_ngrams(asked: DataFrame, total: int, parted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
@@ -311,6 +316,7 @@ def score_ngrams(asked: DataFrame, total: int, parted: tuple[np.ndarray, np.ndar
         at = np.searchsorted(hot, name)
         is_hot = np.append(hot, -1)[at] == name
         tokens_of, kinds_of = (np.where(is_hot, np.append(x, 0)[at], 0) for x in whole)
+        single = np.flatnonzero(is_hot & (name == START))
         spot, before, word, doc, train, pair = [], [], [], [], [], []
         sizes = np.cumsum([0, *[len(m[0]) for m in messages]])
         for mine, own, (held, runs, b, w, d, p), base in zip(names_of, contexts_of, messages, sizes, strict=False):
@@ -328,12 +334,12 @@ def score_ngrams(asked: DataFrame, total: int, parted: tuple[np.ndarray, np.ndar
         order = _ordered(spot, before, word)
         spot, before, word, doc, train, pair = spot[order], before[order], word[order], doc[order], train[order], pair[order]
         # Whole contexts one after the other: a trie at a time.
-        sums, at = np.zeros(int(sizes[-1])), 0
+        sums, at = np.zeros(int(sizes[-1]), dtype=np.int64), 0
         while at < len(spot):
             end = int(np.searchsorted(spot, spot[min(at + TRIE_TOKENS, len(spot)) - 1], side="right"))
-            sums += np.bincount(doc[at:end], weights=_scores(spot[at:end], before[at:end], word[at:end], train[at:end], lower, pair[at:end], tokens_of, kinds_of), minlength=len(sums))
+            sums += np.bincount(doc[at:end], weights=_scores(spot[at:end], before[at:end], word[at:end], train[at:end], lower, pair[at:end], tokens_of, kinds_of, single), minlength=len(sums)).astype(np.int64)
             at = end
-        blobs = [pack(sums[a:b].astype(np.float32)) for a, b in zip(sizes, sizes[1:], strict=False)]
+        blobs = [pack(sums[a:b]) for a, b in zip(sizes, sizes[1:], strict=False)]
         return pa.table({"batch": table.column("batch"), "part": table.column("part"), "blob": pa.array(blobs, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(run, "batch bigint, part int, blob binary")
@@ -344,14 +350,14 @@ REPORT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 
 def sum_up(scored: DataFrame, tokens: int) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        score, base = 0.0, None
+        score, base = 0, None
         for part, blob in sorted(zip(column(table, "part"), column(table, "blob"), strict=True)):
             if part < 0:
                 base = unpack(blob)
             else:
-                score = score + unpack(blob)[0].astype(float)
+                score = score + unpack(blob)[0]
         ids, held, sizes, known, low = base
-        columns = [pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64()), pa.array(held.astype(bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(low), pa.array(score)]
+        columns = [pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64()), pa.array(held.astype(bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(low), pa.array(score / -STEPS)]
         return pa.table(columns, names=[x.split()[0] for x in REPORT.split(", ")])
 
     return scored.groupBy("batch").applyInArrow(run, REPORT)

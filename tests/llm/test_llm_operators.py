@@ -57,8 +57,8 @@ def test_lm_is_a_distribution():
     trie = NgramTrie.from_buffer(NgramTrie.build(before, context, word, count, lower[word]).to_bytes())
     for b in range(7):
         for c in range(7):
-            p = trie.log10(np.full(6, b), np.full(6, c), np.arange(6), np.log10(lower))
-            assert math.isclose((10**p).sum(), 1.0, rel_tol=0.02)
+            p = trie.log10(np.full(6, b), np.full(6, c), np.arange(6), lower)
+            assert math.isclose((10**p).sum(), 1.0, rel_tol=0.002)
 
 
 def test_trie_in_a_file(tmp_path):
@@ -68,7 +68,7 @@ def test_trie_in_a_file(tmp_path):
     trie = NgramTrie.build(np.array([0, 3, 1, 1, 9]), a, np.array([4, 4, 1, 7, 1]), np.array([2, 1, 3, 1, 1]), np.full(5, 0.1))
     trie.save(str(tmp_path / "t"))
     again = NgramTrie.open(str(tmp_path / "t"))
-    ask = (np.array([0, 3, 1, 1, 9, 8, 8]), np.array([1, 1, 2, 2, 5, 1, 77]), np.array([4, 4, 1, 7, 1, 4, 4]), np.full(7, -1.0))
+    ask = (np.array([0, 3, 1, 1, 9, 8, 8]), np.array([1, 1, 2, 2, 5, 1, 77]), np.array([4, 4, 1, 7, 1, 4, 4]), np.full(7, 0.1))
     assert np.allclose(trie.log10(*ask), again.log10(*ask))
     assert again.log10(*ask)[-1] == -1.0
 

@@ -8,7 +8,7 @@ import brute
 import numpy as np
 
 from framelake.llm import lm, secrets
-from framelake.llm.ngram_trie import quantised
+from framelake.llm.ngram_trie import STEPS, EliasFano, quantised
 
 
 def three_word_model(docs):
@@ -41,13 +41,13 @@ def three_word_model(docs):
 
 
 def test_lm_parted_contexts_back_off_to_the_whole_corpus(spark):
-    """So few words that the trie's steps are exact."""
+    """To half a step for each logarithm that is added."""
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(3, 12)))) for i in range(25)]
     rows = lm.scores(spark.createDataFrame(docs, "doc_id bigint, text string"), hot=15).collect()
     got = {r["doc_id"]: r["score"] for r in rows}
     for (i, _), want in zip(docs, three_word_model(docs), strict=True):
-        assert abs(got[i] - want) < 1e-4
+        assert abs(got[i] - want) < 12 * 3 * 0.5 / STEPS
 
 
 def spans_of(spark, texts):
@@ -76,7 +76,34 @@ def test_secrets_stage_masks_mixed_runs_at_any_border(spark):
     assert [r["text"] for r in secrets.secrets_stage(docs).collect()] == ["[REDACTED] aws_secret_access_key=[REDACTED]."]
 
 
-def test_steps_are_fitted_on_all_values():
-    values = np.tile([-1.0, -2.0, -3.0], 70_000)
-    codes, steps = quantised(values)
-    assert np.array_equal(steps[codes], values)
+def test_codes_are_within_half_a_step():
+    values = -np.random.default_rng(3).random(10_000) * 20
+    assert np.abs(quantised(values) / -STEPS - values).max() <= 0.5 / STEPS + 1e-12
+
+
+def test_elias_fano_is_read_in_its_coded_form():
+    rng = np.random.default_rng(8)
+    for size, top in ((0, 1), (1, 0), (1, 10**12), (5, 8), (300, 300), (2000, 10**9), (1000, 1200), (64, 64)):
+        values = np.unique(rng.integers(0, top + 1, size))
+        code = EliasFano.of(values)
+        assert code.get(np.arange(len(values))).tolist() == values.tolist()
+        keys = np.unique(np.concatenate([values, rng.integers(0, top + 2, 200), [0, top, top + 1, 2 * top + 70]]))
+        assert code.find(keys).tolist() == [values.tolist().index(k) if k in set(values.tolist()) else -1 for k in keys.tolist()]
+
+
+def test_lm_scores_by_brute_force_whatever_the_settings(spark, table, corpus, monkeypatch):
+    """Few and many shards and batches, parted contexts and starts: the scores of one undivided model, to the last digit the same."""
+    want = sorted(zip([(-1 if i is None else i) for i, _ in corpus], [round(x, 2) for x in three_word_model(corpus)], strict=True))
+    sizes = {i: len(brute.WORD.findall(t or "")) + 1 for i, t in corpus}
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, hot, batch in (("3", lm.HOT_TOKENS, lm.BATCH_BYTES), ("11", 7, 9000)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            monkeypatch.setattr(lm, "BATCH_BYTES", batch)
+            found.append(sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.scores(table, hot=hot).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    for (i, score), (j, model) in zip(found[0], want, strict=True):
+        assert i == j and abs(score - model) <= 0.01 + 3 * 0.5 / STEPS * sizes[None if i == -1 else i]
