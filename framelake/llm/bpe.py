@@ -439,6 +439,8 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode_stage(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The last stage of the pipeline: the documents with ``token_ids`` and ``n_tokens`` for the text."""
-    keep = tuple(c for c in docs.columns if c != "text")
-    return encode_documents(docs, path, keep=keep).withColumn("n_tokens", F.size("token_ids").cast("bigint"))
+    """The last stage of the pipeline: the documents with ``token_ids`` and ``n_tokens`` for the text; columns of these names that are there already give way."""
+    keep = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens")]
+    plain = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain, strict=True)], F.col("text").cast("string").alias("text"))
+    return encode_documents(rows, path, keep=tuple(plain)).withColumn("n_tokens", F.size("token_ids").cast("bigint")).toDF(*keep, "token_ids", "n_tokens")

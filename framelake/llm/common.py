@@ -22,12 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; only where a session names none (tests) a local one is made."""
+    """The shared folder for checkpoints; only where a local session names none (tests) one is made."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
         if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="framelake-checkpoint-")
             sc.setCheckpointDir(named)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -82,6 +84,16 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`").cast(kinds[n]).alias(n) if n in kinds else F.col(f"`{n}`") for n in names])
 
 
+def boxed(docs: DataFrame, **made: Column) -> DataFrame:
+    """The caller's whole rows in one column, ``row``, beside columns of our own: no names of theirs can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in made.items()])
+
+
+def unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The caller's columns again, some of them changed."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

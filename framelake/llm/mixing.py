@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import checkpoint, pick
+from framelake.llm.common import boxed, checkpoint, pick, unboxed
 
 #: Weights of the sources in order, repeating, and the most copies of a document.
 WEIGHTS = (1, 2, 3)
@@ -141,11 +141,10 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The rows as often as the mixture takes them, with the columns they came with."""
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "__size")]
-    named = ["__kd", "__kh"]
-    rows = docs.withColumn("__size", n_words(F.col("text").cast("string"))).withColumns(dict(zip(named, key, strict=True)))
-    units = copies(_sized(docs)).withColumn("__size", F.col("size")).withColumns(dict(zip(named, key, strict=True))).select(*named, F.col("m").alias("__m"), F.col("total").alias("__total"))
-    taken = rows.join(units, named)
-    nth = F.when(F.col("__m") > 1, F.row_number().over(Window.partitionBy(*named).orderBy(F.xxhash64("text")))).otherwise(1)
-    each = F.expr("__total div __m") + F.when(nth <= F.col("__total") % F.col("__m"), 1).otherwise(0)
-    return taken.withColumn("__each", each.cast("int")).where("__each > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__each")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    size = n_words(F.col("text").cast("string"))
+    rows = boxed(docs, kd=F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), kh=F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), size), h=F.xxhash64("text"))
+    units = copies(_sized(docs)).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("kd"), F.xxhash64("doc_id", "source", "size").alias("kh"), "m", "total")
+    taken = rows.join(units, ["kd", "kh"])
+    nth = F.when(F.col("m") > 1, F.row_number().over(Window.partitionBy("kd", "kh").orderBy("h"))).otherwise(1)
+    each = F.expr("total div m") + F.when(nth <= F.col("total") % F.col("m"), 1).otherwise(0)
+    return unboxed(taken.withColumn("each", each.cast("int")).where("each > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("each")))), docs.columns)

@@ -121,12 +121,10 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with the columns they came with."""
     columns = docs.columns
-    text = columns.index("text")
+    text, plain = columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(columns))])
 
     def run(batches):
         for batch in slices(batches):
             yield batch.filter(pa.array([measure(t)[6] for t in texts_as_bytes(batch.column(text))], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
-
-
+    return plain.mapInArrow(run, plain.schema).toDF(*columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import pick
+from framelake.llm.common import boxed, pick, unboxed
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
@@ -133,13 +133,10 @@ def secrets_stage(docs: DataFrame) -> DataFrame:
     Spans of a text that overlap are replaced together. No row is dropped.
     """
     from_text = F.col("text").cast("string")
-    keys = {"__kd": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__kh": F.xxhash64(F.coalesce(from_text, F.lit("")), F.col("doc_id").isNull())}
-    rows = docs.withColumns(keys)
-    found = linked(_keyed(pick(docs, "doc_id", "text")).select("kd", "kh", "text")).select(F.col("kd").alias("__kd"), F.col("kh").alias("__kh"), F.col("weak").alias("__weak"))
-    rows = rows.join(found, ["__kd", "__kh"], "left")
-    text = F.coalesce(from_text, F.lit(""))
-    weak = F.coalesce("__weak", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"))
-    rows = rows.withColumn("__spans", F.array_sort(F.concat(*strong_spans(text), weak)))
+    rows = boxed(docs, text=F.coalesce(from_text, F.lit("")), kd=F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), kh=F.xxhash64(F.coalesce(from_text, F.lit("")), F.col("doc_id").isNull()))
+    rows = rows.join(linked(_keyed(pick(docs, "doc_id", "text")).select("kd", "kh", "text")), ["kd", "kh"], "left")
+    weak = F.coalesce("weak", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"))
+    rows = rows.withColumn("spans", F.array_sort(F.concat(*strong_spans(F.col("text")), weak)))
     # Overlapping spans become one; a text's pieces between them are joined by the mark.
     nothing = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
     start = F.struct(F.lit(-1).cast("bigint").alias("a"), F.lit(-1).cast("bigint").alias("b"), nothing.alias("out"))
@@ -149,10 +146,13 @@ def secrets_stage(docs: DataFrame) -> DataFrame:
         apart = F.struct(s["start"].alias("a"), s["end"].alias("b"), F.concat(st["out"], F.array(F.struct(st["a"].alias("a"), st["b"].alias("b")))).alias("out"))
         return F.when(s["start"] < st["b"], joined).otherwise(apart)
 
-    runs = F.aggregate("__spans", start, step, lambda st: F.concat(st["out"], F.array(F.struct(st["a"].alias("a"), st["b"].alias("b")))))
-    runs = F.filter(runs, lambda r: r["a"] >= 0)
-    rows = rows.withColumn("__runs", F.when(F.size("__spans") > 0, runs))
-    pieces = F.transform("__runs", lambda r, i: F.substring(text, (F.when(i > 0, F.element_at(F.col("__runs"), F.greatest(i, F.lit(1)))["b"]).otherwise(0) + 1).cast("int"), (r["a"] - F.when(i > 0, F.element_at(F.col("__runs"), F.greatest(i, F.lit(1)))["b"]).otherwise(0)).cast("int")))
-    tail = F.substring(text, (F.element_at(F.col("__runs"), -1)["b"] + 1).cast("int"), F.lit(2**31 - 1))
-    clean = F.when(F.size("__spans") > 0, F.array_join(F.concat(pieces, F.array(tail)), MARK)).otherwise(F.col("text"))
-    return rows.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    runs = F.aggregate("spans", start, step, lambda st: F.concat(st["out"], F.array(F.struct(st["a"].alias("a"), st["b"].alias("b")))))
+    rows = rows.withColumn("runs", F.when(F.size("spans") > 0, F.filter(runs, lambda r: r["a"] >= 0)))
+
+    def before(i: Column) -> Column:
+        return F.when(i > 0, F.element_at(F.col("runs"), F.greatest(i, F.lit(1)))["b"]).otherwise(0)
+
+    between = F.transform("runs", lambda r, i: F.substring("text", (before(i) + 1).cast("int"), (r["a"] - before(i)).cast("int")))
+    tail = F.substring("text", (F.element_at(F.col("runs"), -1)["b"] + 1).cast("int"), F.lit(2**31 - 1))
+    clean = F.when(F.size("spans") > 0, F.array_join(F.concat(between, F.array(tail)), MARK)).otherwise(F.col("row").getField("text"))
+    return unboxed(rows, docs.columns, text=clean)

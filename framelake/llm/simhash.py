@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import checkpoint, pick, slices, texts_as_bytes
+from framelake.llm.common import boxed, checkpoint, pick, slices, texts_as_bytes, unboxed
 from framelake.llm.components import components
 
 BITS = 64
@@ -165,16 +165,14 @@ def near_dedup_stage(docs: DataFrame, distance: int = DISTANCE, size: int = SHIN
 
     Rows alike in doc_id and text count as one. Groups are settled among fingerprints, of which each row's is known by key; whole rows move once.
     """
-    key = {"__kd": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "__kh": F.xxhash64(F.col("text").cast("string"), F.col("doc_id").isNull())}
-    columns = docs.columns
-    rows = docs.withColumns(key)
+    keys = {"kd": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "kh": F.xxhash64(F.col("text").cast("string"), F.col("doc_id").isNull())}
 
     def run(batches):
         for batch in slices(batches):
             got = [signed(fingerprint(t, size)) for t in texts_as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int64())], names=["kd", "kh", "fp"])
 
-    prints = rows.select("__kd", "__kh", F.col("text").cast("string").alias("text")).mapInArrow(run, "kd bigint, kh bigint, fp bigint")
+    prints = docs.select(keys["kd"].alias("kd"), keys["kh"].alias("kh"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kd bigint, kh bigint, fp bigint")
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(F.struct("kd", "kh")).alias("first")))
-    stay = groups_of(nodes, distance).groupBy("c").agg(F.min("first").alias("f")).select(F.col("f.kd").alias("__kd"), F.col("f.kh").alias("__kh"))
-    return rows.join(stay, ["__kd", "__kh"], "left_semi").dropDuplicates(["__kd", "__kh"]).select(*[F.col(f"`{c}`") for c in columns])
+    stay = groups_of(nodes, distance).groupBy("c").agg(F.min("first").alias("f")).select("f.kd", "f.kh")
+    return unboxed(boxed(docs, **keys).join(stay, ["kd", "kh"], "left_semi").dropDuplicates(["kd", "kh"]), docs.columns)

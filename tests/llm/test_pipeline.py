@@ -1,6 +1,8 @@
 """The stages over the odd corpus: their columns, what goes and what stays, and an empty table."""
 
 import brute
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -25,6 +27,30 @@ def test_stages(spark, odd, table, corpus, tmp_path):
     assert all(len(r["token_ids"]) == r["n_tokens"] for r in docs.collect())
 
 
+CLASHES = (
+    "row", "kd", "kh", "h", "m", "total", "each", "i", "size", "spans", "runs", "weak", "start", "kind", "end", "fp", "c", "f", "first", "least", "n", "component", "node", "a", "b", "u", "class", "rank",
+    "__kd", "__kh", "__m", "__total", "__size", "__each", "__i", "__spans", "__runs", "__weak", "text_", "a.b", "batch", "part", "blob", "salt", "target", "source_size", "copies", "taken",
+)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_columns_of_any_name_keep_their_values(spark, table, name):
+    """Each further column holds its own name and the row's doc_id; the stage gives the rows it gives without them, each with its own values."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    mark = lambda c: F.concat(F.lit(c + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    docs = table.withColumns({c: mark(c) for c in CLASHES} | ({"token_ids": mark("t"), "n_tokens": mark("n")} if name == "tokens" else {"token_ids": mark("token_ids")}))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    out, plain = stage(spark, docs, ""), stage(spark, table, "")
+    got = out.collect()
+    for r in got:
+        for c in CLASHES:
+            assert r[c] == f"{c}/{'null' if r['doc_id'] is None else r['doc_id']}"
+    shown = [c for c in plain.columns if c != "source"]
+    assert sorted(map(str, ([r[c] for c in shown] for r in got))) == sorted(map(str, ([r[c] for c in shown] for r in plain.collect())))
+    if name != "tokens":
+        assert out.columns == docs.columns
+
+
 def test_empty(spark, empty):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
