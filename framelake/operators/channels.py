@@ -45,30 +45,46 @@ def default_window(frames_in_all: int, seconds: int = 30, rate: int = 25) -> int
     return seconds * rate if seconds * rate <= frames_in_all else frames_in_all // 4
 
 
-def rolling_baseline(traces: DataFrame, window: int, integers: bool = True, by: tuple[str, ...] = ("session_id", "channel", "y", "x")) -> DataFrame:
+def session_windows(frames: DataFrame) -> DataFrame:
+    """session_id, window: the default window of each recording."""
+    n = F.count("*")
+    return frames.groupBy("session_id").agg(F.when(n >= default_window(10**9), F.lit(default_window(10**9))).otherwise(F.floor(n / 4)).cast("int").alias("window"))
+
+
+def rolling_baseline(traces: DataFrame, window: int | DataFrame, integers: bool = True, by: tuple[str, ...] = ("session_id", "channel", "y", "x")) -> DataFrame:
     """traces (by, k, value) with ``f0``, a moving mean.
 
     The mean around place k is over k - w/2 + 1 to k + w/2 and comes from running sums, so that the work does not grow with the window; with ``integers`` values are
     truncated to unsigned integers before. The first and last w/2 places have the mean of the w/2 nearest means (fewer if there are no more). An odd window is
-    one longer; a window longer than the trace is an error.
+    one longer; a window longer than the trace is an error. window: places, or a table (session_id, window); of its different values, which are few, each adds two
+    columns to the one pass over the traces.
     """
-    w = window + window % 2
-    half = w // 2
+    if isinstance(window, int):
+        windows, traces, asked = [window], traces, F.lit(window)
+    else:
+        windows = sorted(r["window"] for r in window.select("window").distinct().collect())
+        traces, asked = traces.join(small(window.select("session_id", F.col("window").alias("__asked"))), "session_id"), F.col("__asked")
+    w = asked + asked % 2
+    half = (w / 2).cast("int")
     trace = Window.partitionBy(*by)
     order = trace.orderBy("k")
     value = whole(F.col("value")) if integers else F.col("value")
     out = traces.withColumns({"__n": F.count("*").over(trace), "__sum": F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     middle = (F.col("k") >= half) & (F.col("k") < F.col("__n") - half)
-    out = out.withColumn("__m", F.when(middle, (F.lead("__sum", half).over(order) - F.lag("__sum", half).over(order)) / w))
-    head = (F.col("k") >= half) & (F.col("k") < F.least(F.lit(w), F.col("__n") - half))
-    tail = (F.col("k") >= F.greatest(F.lit(half), F.col("__n") - w)) & (F.col("k") < F.col("__n") - half)
+    across = F.lit(None).cast("bigint" if integers else "double")
+    for each in windows:
+        h = (each + each % 2) // 2
+        across = F.when(asked == each, F.lead("__sum", h).over(order) - F.lag("__sum", h).over(order)).otherwise(across)
+    out = out.withColumn("__m", F.when(middle, across / w))
+    head = (F.col("k") >= half) & (F.col("k") < F.least(w, F.col("__n") - half))
+    tail = (F.col("k") >= F.greatest(half, F.col("__n") - w)) & (F.col("k") < F.col("__n") - half)
     out = out.withColumns({"__h": F.avg(F.when(head, F.col("__m"))).over(trace), "__t": F.avg(F.when(tail, F.col("__m"))).over(trace)})
     f0 = F.when(F.col("k") < half, F.col("__h")).when(F.col("k") >= F.col("__n") - half, F.col("__t")).otherwise(F.col("__m"))
-    checked = F.when(F.col("__n") < window, F.raise_error(F.format_string("the baseline's window is %d, but a trace has %d places only", F.lit(window), F.col("__n"))).cast("double")).otherwise(F.coalesce(f0, F.lit(float("nan"))))
-    return out.withColumn("f0", checked).drop("__n", "__sum", "__m", "__h", "__t")
+    checked = F.when(F.col("__n") < asked, F.raise_error(F.format_string("the baseline's window is %d, but a trace has %d places only", asked, F.col("__n"))).cast("double")).otherwise(F.coalesce(f0, F.lit(float("nan"))))
+    return out.withColumn("f0", checked).drop("__n", "__sum", "__m", "__h", "__t", "__asked")
 
 
-def rolling_dff(traces: DataFrame, window: int, integers: bool = True) -> DataFrame:
+def rolling_dff(traces: DataFrame, window: int | DataFrame, integers: bool = True) -> DataFrame:
     """traces with ``f0`` and ``dff``, the change relative to it."""
     return rolling_baseline(traces, window, integers).withColumn("dff", divided(F.col("value") - F.col("f0"), F.col("f0")))
 

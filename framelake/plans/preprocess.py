@@ -28,7 +28,7 @@ class Preprocessed:
 def preprocess(frames: DataFrame, times: DataFrame | None = None, *, edge: int = 0, bins: int = 2, window: int | None = None, use_means: bool = False, flip: bool = False, skip_start: int | None = None, skip_end: int | None = None, integers: bool = True, qa: bool = True, means_only: bool = False) -> Preprocessed:
     """frames as in ``framelake.layout``; times: session_id, frame_idx, ts_raw, micros.
 
-    The window is 30 s of frames or a quarter of the shortest recording unless it is given. Binned frames are read by several tables: persist ``frames`` or write them
+    The window is, for each recording by itself, 30 s of frames or a quarter of the recording unless it is given. Binned frames are read by several tables: persist ``frames`` or write them
     between if they are costly to make.
     """
     kept = fr.spatial_bin(fr.crop(fr.skip(frames, skip_start, skip_end), edge), bins) if bins > 1 else fr.crop(fr.skip(frames, skip_start, skip_end), edge)
@@ -39,8 +39,7 @@ def preprocess(frames: DataFrame, times: DataFrame | None = None, *, edge: int =
     if means_only:
         return out
     if window is None:
-        shortest = kept.groupBy("session_id").count().agg(F.min("count")).first()[0] or 0
-        window = ch.default_window(shortest)
+        window = ch.session_windows(kept.select("session_id"))
     dff = ch.rolling_dff(ch.channel_traces(two), window, integers)
     change = ch.corrected(dff)
     series = ch.corrected_series(change)

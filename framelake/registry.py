@@ -170,17 +170,20 @@ def rescale_uint8(spark, d):
     return to_pixels(fr.to_bytes(vector_frames(spark, d))).select("frame_idx", "y", "x", F.col("value").cast("bigint").alias("value"))
 
 
+REGION_COLUMNS = tuple(side + r for r in ("REG1", "REG2", "REG3", "REG9") for side in ("L_", "R_"))
+
+
 def region_single(spark, d):
     return regions.region_activity(vector_frames(spark, d), _atlas(spark), _regions(spark), "REG2", "Left").select("frame_idx", _r("F"))
 
 
 def region_all_long(spark, d):
-    return regions.all_regions(vector_frames(spark, d), _atlas(spark), _regions(spark)).where("not isnan(F)").select("region", "frame_idx", _r("F"))
+    return regions.all_regions(vector_frames(spark, d), _atlas(spark), _regions(spark)).select("region", "frame_idx", F.round(F.nanvl("F", F.lit(None)), 6).alias("F"))
 
 
 def region_all_wide(spark, d):
-    wide = regions.wide(regions.all_regions(vector_frames(spark, d), _atlas(spark), _regions(spark)), ["L_REG1", "R_REG1", "L_REG3"])
-    return wide.select("frame_idx", *[_r(c) for c in ("L_REG1", "R_REG1", "L_REG3")])
+    wide = regions.wide(regions.all_regions(vector_frames(spark, d), _atlas(spark), _regions(spark)), list(REGION_COLUMNS))
+    return wide.select("frame_idx", *[F.round(F.nanvl(c, F.lit(None)), 6).alias(c) for c in REGION_COLUMNS])
 
 
 def region_exclusion(spark, d):
@@ -189,7 +192,7 @@ def region_exclusion(spark, d):
 
 def trial_selection(spark, d):
     frames = vector_frames(spark, d)
-    trials = frames.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("c"), "frame_idx").where("frame_idx % 7 = 3").select((F.col("c") * 1_000_000 + F.col("frame_idx")).alias("sample_idx"), "frame_idx")
+    trials = frames.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("c"), "frame_idx").select((F.col("c") * 1_000_000 + F.col("frame_idx")).alias("sample_idx"), "frame_idx")
     return fr.statistics(regression.select_trials(frames, trials)).select("frame_idx", _r("mean"))
 
 
@@ -199,6 +202,34 @@ def ridge_maps(spark, d):
     return regression.ridge(to_pixels(frames), x, 1.0).select("y", "x", F.round(F.col("coef")[0], 6).alias("b0"), F.round(F.col("coef")[1], 6).alias("b1"), _r("r2"), F.round("mse", 4).alias("mse"))
 
 
+def _two(frames):
+    """The vectors as two recordings of unlike length, by the remainder of their number by three."""
+    late = F.col("frame_idx") % 3 == 2
+    return frames.withColumns({"session_id": F.when(late, "b").otherwise("a"), "frame_idx": F.when(late, F.floor(F.col("frame_idx") / 3)).otherwise(2 * F.floor(F.col("frame_idx") / 3) + F.col("frame_idx") % 3)})
+
+
+def ridge_maps_two_recordings(spark, d):
+    frames = _two(vector_frames(spark, d))
+    x = frames.select("session_id", F.col("frame_idx").alias("sample_idx"), F.array(((F.col("frame_idx") * F.when(F.col("session_id") == "a", 1).otherwise(3)) % 7).cast("double")).alias("values"))
+    return regression.ridge(to_pixels(frames), x, 1.0).select("session_id", "y", "x", F.round(F.col("coef")[0], 6).alias("b0"), F.round("mse", 4).alias("mse"))
+
+
+def baseline_two_windows(spark, d):
+    frames = _two(vector_frames(spark, d))
+    traces = to_pixels(frames.withColumns({"channel": F.lit("one"), "k": F.col("frame_idx")}), "channel", "k")
+    windows = frames.select("session_id").distinct().withColumn("window", F.when(F.col("session_id") == "a", 20).otherwise(9))
+    return ch.rolling_baseline(traces, windows).select("session_id", "k", "y", "x", _r("f0"))
+
+
+def timestamp_checks_default(spark, d):
+    gaps = checks.intervals(_times(spark, d))
+    return checks.timestamp_consistency(gaps).select("session_id", _r("p"), "passed").join(checks.timestamp_jumps(gaps).select("session_id", _r("jump"), F.col("passed").alias("even")), "session_id")
+
+
+def noise_check_default(spark, d):
+    return checks.noise_check(checks.noise_map(to_pixels(vector_frames(spark, d)))).select(_r("noise"), "passed")
+
+
 def affine_points(spark, d):
     points = vector_frames(spark, d).select("frame_idx", (F.col("frame_idx") % 13).cast("double").alias("x"), (F.col("frame_idx") % 17).cast("double").alias("y"))
     return registration.transformed(points, MATRIX).select("frame_idx", _r("x"), _r("y"))
@@ -226,7 +257,7 @@ QUERIES = (
     frame_statistics, spatial_bin, crop_frames, skip_frames, registration_crop, channel_separation, channel_separation_means_flipped, channel_counts, channel_means, projections,
     baseline_f0, rolling_dff, haemodynamic_correction, corrected_pixels, channel_dff_means, corrected_max_projection, corrected_timestamps, signal_histogram, session_duration,
     timestamp_intervals, timestamp_consistency, timestamp_jumps, noise_map, noise_check, snr, bleaching, pixel_zscore, gaussian_laplace, rescale_uint8, region_single, region_all_long,
-    region_all_wide, region_exclusion, trial_selection, ridge_maps, affine_points, warp_bicubic, frame_layout_round_trip, dip_test, stem_parsing,
+    region_all_wide, region_exclusion, trial_selection, ridge_maps, ridge_maps_two_recordings, baseline_two_windows, timestamp_checks_default, noise_check_default, affine_points, warp_bicubic, frame_layout_round_trip, dip_test, stem_parsing,
 )
 
 
@@ -248,6 +279,11 @@ _CTE = {
     "change": ("dff", "SELECT a.k, a.frame_idx, a.y, a.x, a.dff - b.dff AS value FROM dff a JOIN dff b ON a.k = b.k AND a.y = b.y AND a.x = b.x WHERE a.channel = 'gcamp' AND b.channel = 'isosb'"),
     "times": ("", "SELECT user_id AS session_id, event_id AS frame_idx, epoch_us(ts) AS micros FROM events"),
     "gaps": ("times", "SELECT * FROM (SELECT session_id, frame_idx, CAST(trunc((micros - lag(micros) OVER (PARTITION BY session_id ORDER BY frame_idx)) / 1000) AS BIGINT) AS ms FROM times) WHERE ms IS NOT NULL"),
+    "two": ("raw", "SELECT CASE WHEN frame_idx % 3 = 2 THEN 'b' ELSE 'a' END AS session_id, CASE WHEN frame_idx % 3 = 2 THEN frame_idx // 3 ELSE 2 * (frame_idx // 3) + frame_idx % 3 END AS k, y, x, value FROM raw"),
+    "tworeg": ("two", "SELECT session_id, y, x, k, value, (CASE WHEN session_id = 'a' THEN k ELSE 3 * k END) % 7 AS r FROM two"),
+    "twofit": ("tworeg", "SELECT session_id, y, x, count(*) AS n, covar_pop(r, value) * count(*) AS s, var_pop(r) * count(*) AS p, var_pop(value) * count(*) AS tot FROM tworeg GROUP BY ALL"),
+    "twosum": ("two", "SELECT *, CASE WHEN session_id = 'a' THEN 10 ELSE 5 END AS h, count(*) OVER (PARTITION BY session_id, y, x) AS n, sum(CAST(trunc(value) AS BIGINT)) OVER (PARTITION BY session_id, y, x ORDER BY k) AS s FROM two"),
+    "twom": ("twosum", "SELECT *, CASE WHEN k >= h AND k < n - h THEN (CASE WHEN h = 10 THEN lead(s, 10) OVER w - lag(s, 10) OVER w ELSE lead(s, 5) OVER w - lag(s, 5) OVER w END) / (2.0 * h) END AS m FROM twosum WINDOW w AS (PARTITION BY session_id, y, x ORDER BY k)"),
     "gz": ("gaps", "SELECT session_id, CASE WHEN stddev_pop(ms) OVER w = 0 THEN 'NaN'::DOUBLE ELSE (ms - avg(ms) OVER w) / stddev_pop(ms) OVER w END AS z FROM gaps WINDOW w AS (PARTITION BY session_id)"),
     "noise": ("raw", "SELECT y, x, median(abs(d)) / 5.0 * 100 AS noise FROM (SELECT y, x, value - lag(value) OVER (PARTITION BY y, x ORDER BY frame_idx) AS d FROM raw) WHERE d IS NOT NULL GROUP BY y, x"),
     "cells": ("", "SELECT CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x FROM (SELECT unnest(range(64)) AS p)"),
@@ -317,11 +353,15 @@ def oracle_sql():
         "gaussian_laplace": _sql("SELECT a.frame_idx, CAST(m.i AS INTEGER) AS y, CAST(a.x AS INTEGER) AS x, round(sum(a.a * m.phi + a.a * m.bent + a.b * m.phi), 4) AS value FROM across a JOIN mirror m ON a.y = m.j GROUP BY a.frame_idx, m.i, a.x", "across mirror"),
         "rescale_uint8": _sql("SELECT frame_idx, y, x, CAST(floor((value + abs(lo)) / (hi + abs(lo)) * 255) AS BIGINT) AS value FROM raw, (SELECT min(value) AS lo, max(value) AS hi FROM raw)", "raw"),
         "region_single": _sql("SELECT frame_idx, round(avg(value), 6) AS F FROM raw JOIN atlas USING (y, x) WHERE side = 'L_' AND id = 2 GROUP BY frame_idx", "raw atlas"),
-        "region_all_long": _sql("SELECT region, frame_idx, round(F, 6) AS F FROM act", "act"),
-        "region_all_wide": _sql("SELECT frame_idx, " + ", ".join(f'round(max(F) FILTER (WHERE region = \'{r}\'), 6) AS "{r}"' for r in ("L_REG1", "R_REG1", "L_REG3")) + " FROM act GROUP BY frame_idx", "act"),
+        "region_all_long": _sql("SELECT region, frame_idx, round(F, 6) AS F FROM act UNION ALL SELECT side || 'REG9', frame_idx, NULL FROM stats, (VALUES ('L_'), ('R_')) t(side)", "act stats"),
+        "region_all_wide": _sql("SELECT frame_idx, " + ", ".join(f'round(max(F) FILTER (WHERE region = \'{r}\'), 6) AS "{r}"' for r in REGION_COLUMNS) + " FROM act GROUP BY frame_idx", "act"),
         "region_exclusion": _sql("SELECT CAST(id AS BIGINT) AS id, acronym FROM regs WHERE acronym NOT IN ('FRP1', 'REG3')", "regs"),
-        "trial_selection": _sql("SELECT c * 1000000 + frame_idx AS frame_idx, round(mean, 6) AS mean FROM stats, (SELECT unnest([0, 1]) AS c) WHERE frame_idx % 7 = 3", "stats"),
+        "trial_selection": _sql("SELECT c * 1000000 + frame_idx AS frame_idx, round(mean, 6) AS mean FROM stats, (SELECT unnest([0, 1]) AS c)", "stats"),
         "ridge_maps": _sql("SELECT y, x, round(b0, 6) AS b0, round(b1, 6) AS b1, round(CASE WHEN res = 0 THEN 1 WHEN tot = 0 THEN 0 ELSE 1 - res / tot END, 6) AS r2, round(res / n, 4) AS mse FROM res", "res"),
+        "ridge_maps_two_recordings": _sql("SELECT session_id, y, x, round(s / (p + 1), 6) AS b0, round(greatest(0, tot - 2 * s / (p + 1) * s + s / (p + 1) * s / (p + 1) * p) / n, 4) AS mse FROM twofit", "twofit"),
+        "baseline_two_windows": _sql("SELECT session_id, k, y, x, round(CASE WHEN k < h THEN avg(m) FILTER (WHERE k >= h AND k < least(2 * h, n - h)) OVER w WHEN k >= n - h THEN avg(m) FILTER (WHERE k >= greatest(h, n - 2 * h) AND k < n - h) OVER w ELSE m END, 6) AS f0 FROM twom WINDOW w AS (PARTITION BY session_id, y, x)", "twom"),
+        "timestamp_checks_default": _sql("SELECT session_id, round(p, 6) AS p, coalesce(NOT isnan(p) AND p <= 2.0, false) AS passed, round(j, 6) AS jump, coalesce(NOT isnan(j) AND j <= 2.0, false) AS even FROM (SELECT session_id, quantile_cont(z, 0.99) AS p, max(abs(z)) AS j FROM gz GROUP BY session_id)", "gz"),
+        "noise_check_default": _sql("SELECT round(median(noise), 6) AS noise, median(noise) <= 10 AS passed FROM noise", "noise"),
         "affine_points": _sql("SELECT vec_id AS frame_idx, round(1.0471975512::DOUBLE * (vec_id % 13) + 0.0981747704::DOUBLE * (vec_id % 17) + 0.5413::DOUBLE, 6) AS x, round(-0.0785398163::DOUBLE * (vec_id % 13) + 0.9738937226::DOUBLE * (vec_id % 17) - 0.2617::DOUBLE, 6) AS y FROM embeddings", ""),
         "warp_bicubic": _sql("SELECT f.frame_idx, f.y, f.x, round(CASE WHEN coalesce(v, 0) = 0 THEN 0 ELSE least(greatest(v, lo), hi) END, 4) AS value FROM raw f JOIN (SELECT frame_idx, min(value) AS lo, max(value) AS hi FROM raw GROUP BY frame_idx) USING (frame_idx) LEFT JOIN warped g ON g.frame_idx = f.frame_idx AND g.y = f.y AND g.x = f.x", "raw warped"),
         "frame_layout_round_trip": _sql("SELECT frame_idx, y, x, value FROM raw", "raw"),

@@ -120,8 +120,8 @@ def synthetic_times(spark: SparkSession, frames: int, start: str, rate: float =
 
 
 def region_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """id, acronym, name from text whose columns are parted by comma and blank."""
-    return spark.read.csv(path, sep=", ", header=True, schema="id int, acronym string, name string")
+    """id, acronym, name, ord (the order of the rows) from text whose columns are parted by comma and blank."""
+    return spark.read.csv(path, sep=", ", header=True, schema="id int, acronym string, name string").withColumn("ord", F.monotonically_increasing_id())
 
 
 def foreign(spark: SparkSession, path: str) -> DataFrame:

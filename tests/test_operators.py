@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.layout import to_frames, to_pixels
 from framelake.operators import channels as ch
@@ -137,6 +138,50 @@ def test_ridge(spark):
     assert got[0, 0]["mse"] < 1e-9
 
 
+def test_ridge_of_two_recordings(spark):
+    rng = np.random.default_rng(7)
+    made, rows, want = [], [], {}
+    for name, n in (("p", 40), ("q", 60)):
+        x, y = rng.normal(size=(n, 2)), rng.normal(size=(n, 1, 2))
+        made.append(frames(spark, y).withColumn("session_id", F.lit(name)))
+        rows += [(name, i, [float(v) for v in r]) for i, r in enumerate(x)]
+        xc = x - x.mean(axis=0)
+        want[name] = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ y[:, 0, 1])
+    both, table = made[0].unionByName(made[1]), spark.createDataFrame(rows, "session_id string, sample_idx bigint, values array<double>")
+    got = {(r["session_id"], r["x"]): r["coef"] for r in regression.ridge(to_pixels(both), table).collect()}
+    assert np.allclose(got["p", 1], want["p"]) and np.allclose(got["q", 1], want["q"])
+    with pytest.raises(Exception, match="60 rows of regressors"):
+        regression.ridge(to_pixels(made[0]), table.where("session_id = 'q'").drop("session_id")).collect()
+    trials = spark.createDataFrame([("p", 0, 5), ("p", 1, 5), ("q", 0, 7)], "session_id string, sample_idx bigint, frame_idx bigint")
+    assert {(r["session_id"], r["frame_idx"]) for r in regression.select_trials(both, trials).collect()} == {("p", 0), ("p", 1), ("q", 0)}
+
+
+def test_window_of_each_recording(spark):
+    rng = np.random.default_rng(8)
+    make = lambda n: np.array([rng.normal(200, 40 if i % 2 else 5, (4, 4)) for i in range(n)])
+    long, short = make(120), make(40)
+    both = frames(spark, long).withColumn("session_id", F.lit("long")).unionByName(frames(spark, short).withColumn("session_id", F.lit("short")))
+    together = preprocess(both, qa=False)["change"]
+    for name, a in (("long", long), ("short", short)):
+        alone = preprocess(frames(spark, a), qa=False)["change"]
+        key = lambda df: [r["value"] for r in df.orderBy("k", "y", "x").collect()]
+        assert np.allclose(key(together.where(F.col("session_id") == name)), key(alone))
+
+
+def test_nan_pixels_and_the_order_of_the_dictionary(spark):
+    raster = spark.createDataFrame([(y, x, y // 2 + 1 if x < 3 else 0) for y in range(6) for x in range(6)], "y int, x int, region_id int")
+    atlas = regions.both_hemispheres(raster, 6)
+    names = spark.createDataFrame([(0, 2, "REG"), (1, 1, "REG"), (2, 3, "OTHER")], "ord int, id int, acronym string")
+    a = np.random.default_rng(1).uniform(0, 1, (2, 6, 6))
+    a[1, 0, 5] = np.nan
+    get = lambda **k: {(r["region"], r["frame_idx"]): r["F"] for r in regions.all_regions(frames(spark, a), atlas, names, **k).collect()}
+    got = get()
+    assert math.isclose(got["L_REG", 0], a[0, 2:4, :3].mean()) and all(math.isnan(v) for (_, i), v in got.items() if i == 1)
+    assert not any(math.isnan(v) for v in get(spread_nan=False).values())
+    one = regions.region_activity(frames(spark, a), atlas, names, "REG", "left").orderBy("frame_idx").first()
+    assert math.isclose(one["F"], a[0, 2:4, :3].mean())
+
+
 def test_readers_and_writers(spark, tmp_path):
     path = writers.landmarks_csv(str(tmp_path / "points"), readers.template_landmarks())
     assert readers.landmarks(spark, path) == readers.template_landmarks()
