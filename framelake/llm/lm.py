@@ -24,7 +24,7 @@ from framelake.llm.ngram_trie import DISCOUNT, STEPS, NgramTrie, quantised
 from framelake.llm.toxicity import words_of
 
 #: Training and scored tokens of a shard, about; training tokens of a context that isn't parted.
-SHARD_TOKENS, HOT_TOKENS = 4_000_000, 1_000_000
+SHARD_TOKENS, HOT_TOKENS = 2_000_000, 500_000
 #: Tokens of whole contexts whose trie is built at once, about; bytes of a batch.
 TRIE_TOKENS, BATCH_BYTES = 400_000, 4_000_000
 #: Numbers of the start and the end of a text; words begin at FIRST.
