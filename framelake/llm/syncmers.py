@@ -1,10 +1,13 @@
-"""Document fingerprints from closed syncmers.
+"""Document fingerprints from closed syncmers, with their places.
 
-Letters are pieces of words (six code points at most, counted from a word's start, hashed). A window of K letters is a closed syncmer when the least
-of its inner substrings (single letters here) stands at its first or last place: whether it is chosen hangs on nothing around it, so that a passage
-gives the same anchors wherever it stands. A text is padded at both ends, so that texts of any length have anchors. The
-fingerprint is the sketch of the least SKETCH different anchors, in order; the likeness of two is the share of the least of both that are in both, an
-estimate of the share of their anchors that they have in common.
+Letters are words of up to LONG code points; a longer run without blanks gives a letter at each of its code points, that with the up to GRAM - 1 that
+follow. So no letter hangs on an offset from anything: one more code point in front of a long run moves its letters and changes none. A window of K
+letters is a closed syncmer when the least of its inner pairs of letters stands at its first or last place: whether it is chosen hangs on nothing around
+it, so that a passage gives the same anchors wherever it stands. A text is padded at both ends, so that texts of any length have anchors.
+
+The fingerprint holds every different anchor of the text, whatever its length, each with the place of its first occurrence. Two fingerprints are matched
+by place: common anchors are laid out in the order of the first text, and one counts where it is shifted as its neighbour there is, give or take SLACK
+letters, so that chance meetings don't count and passages that moved as a whole do. The likeness is the share of both texts' anchors that so match.
 """
 
 from __future__ import annotations
@@ -14,10 +17,14 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import pick
 
-PIECE = r"[^\x20\x09-\x0D]{1,6}"
 K = 5
-SKETCH = 64
+LONG = 16
+GRAM = 6
+SLACK = 5
+_WORD = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{1,{LONG}}}+(?![^\x20\x09-\x0D])"
+LETTER = rf"(?=({_WORD}|[^\x20\x09-\x0D]{{1,{GRAM}}}))(?:{_WORD}|[^\x20\x09-\x0D])"
 _PAD = 2**63 - 1
+_PLACE = 2**31 - 1
 _NONE = "cast(array() as array<bigint>)"
 
 
@@ -26,32 +33,56 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _once(ordered: Column, bits: int) -> Column:
+    """The first of each run of values that are equal above their low bits."""
+    return let(ordered, lambda s: F.filter(s, lambda x, i: F.coalesce(F.shiftright(x, bits) != F.shiftright(F.get(s, i - 1), bits), F.lit(True))))
+
+
 def anchors(text: Column, k: int = K) -> Column:
-    """The different closed syncmers of a text, as 32-bit hashes in order."""
-    letters = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))
+    """The different closed syncmers of a text in the order of their hashes: a set top bit, 31 bits of hash, 32 bits of the first place."""
+    letters = F.transform(F.regexp_extract_all(text, F.lit(LETTER), F.lit(1)), lambda x: F.xxhash64(x))
     pad = F.array_repeat(F.lit(_PAD).cast("bigint"), k - 1)
 
-    def chosen(p: Column) -> Column:
-        at = lambda i, d: F.get(p, i + d if d else i)
-        closed = F.filter(F.sequence(F.lit(0), F.size(p) - k), lambda i: F.least(at(i, 0), at(i, k - 1)) <= F.least(*[at(i, d) for d in range(1, k - 1)]))
-        return F.transform(closed, lambda i: F.xxhash64(*[at(i, d) for d in range(k)]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    def pairs(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.xxhash64(F.get(p, i), F.get(p, i + 1)))
+
+    def packed(p: Column, q: Column) -> Column:
+        at = lambda x, i, d: F.get(x, i + d if d else i)
+        closed = F.filter(F.sequence(F.lit(0), F.size(p) - k), lambda i: F.least(at(q, i, 0), at(q, i, k - 2)) <= F.least(*[at(q, i, d) for d in range(1, k - 2)]))
+        value = lambda i: F.xxhash64(*[at(q, i, d) for d in range(0, k - 1, 2)], *([at(p, i, k - 1)] if k % 2 else []))
+        return F.transform(closed, lambda i: F.shiftleft(value(i), 32).bitwiseOR(F.lit(-(2**63))).bitwiseOR(i.cast("bigint")))
+
+    whole = let(F.concat(pad, letters, pad), lambda p: F.when(F.size(p) > 2 * (k - 1), let(pairs(p), lambda q: packed(p, q))).otherwise(F.expr(_NONE)))
+    return _once(F.sort_array(whole), 32)
+
+
+def matches(a: Column, b: Column) -> Column:
+    """The places (in a << 32 | in b) of anchors that are in both, in the order of the first."""
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(2**31)))))
+    place = lambda x: x.bitwiseAND(F.lit(_PLACE))
+
+    def met(s: Column) -> Column:
+        follower = lambda x, i: F.when(F.shiftright(x, 32) == F.shiftright(F.get(s, i + 1), 32), F.shiftleft(place(x), 32).bitwiseOR(place(F.get(s, i + 1))))
+        return F.sort_array(F.array_compact(F.transform(s, follower)))
 
-    return F.sort_array(F.array_distinct(let(F.concat(pad, letters, pad), lambda p: F.when(F.size(p) > 2 * (k - 1), chosen(p)).otherwise(F.expr(_NONE)))))
+    return let(both, met)
 
 
-def sketch(text: Column, k: int = K, size: int = SKETCH) -> Column:
-    return F.slice(anchors(text, k), 1, size)
+def likeness(a: Column, b: Column, slack: int = SLACK) -> Column:
+    """0 to 1: the share of the anchors of both that match by place; two texts without words are alike, one without and one with are not. A single common anchor counts."""
+    shift = lambda v: F.shiftright(v, 32) - v.bitwiseAND(F.lit(_PLACE))
 
+    def counted(m: Column) -> Column:
+        near = lambda v, i: F.coalesce(F.abs(shift(v) - shift(F.get(m, i))) <= slack, F.lit(False))
+        return F.when(F.size(m) < 2, F.size(m)).otherwise(F.size(F.filter(m, lambda v, i: near(v, i - 1) | near(v, i + 1))))
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """0 to 1; two texts without words are alike, one without and one with are not."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(least, F.array_intersect(a, b)))
-    return F.when(F.size(least) == 0, 1.0).otherwise(both / F.greatest(F.size(least), F.lit(1)))
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * let(matches(a, b), counted) / F.greatest(total, F.lit(1)))
 
 
 def written(s: Column) -> Column:
-    return F.concat_ws("", F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))))
+    """Sixteen hexadecimal digits an anchor: a set bit, the hash, the place."""
+    return F.lower(F.concat_ws("", F.transform(s, lambda x: F.hex(x))))
 
 
 def _bucket(o: Column, bounds: list[int]) -> Column:
@@ -63,11 +94,12 @@ def _bucket(o: Column, bounds: list[int]) -> Column:
     return F.when(at == 0, 0).otherwise((at - 1) * g + fine)
 
 
-def followed(rows: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
-    """rows (doc_id, text, ...) with next_<column> from the next row, by doc_id ascending (null first), then the text's hash; the first follows the last.
+def followed(rows: DataFrame, parts: int | None = None, **made: Column) -> DataFrame:
+    """rows (doc_id, text, ...), columns made of them, and next_<column> of text and of those from the next row, by doc_id ascending (null first), then the
+    text's hash; the first follows the last.
 
     Rows are dealt out by ranges of doc_id. The bounds, one per shuffle partition, and the least doc_id of each range are all that the driver
-    sees; the least row of a range goes to the range before as well, where it follows the last.
+    sees; the least row of a range goes to the range before as well, where it follows the last. Columns are made after the exchange: only texts travel.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -82,7 +114,7 @@ def followed(rows: DataFrame, columns: list[str], parts: int | None = None) -> D
     places = F.array_compact(F.array(F.struct(F.col("__b").cast("int").alias("b"), F.lit(0).alias("late")), F.when(guard.isNotNull(), F.struct(guard.cast("int").alias("b"), F.lit(1).alias("late")))))
     dealt = keyed.withColumn("__p", F.explode(places)).withColumns({"__b": F.col("__p.b"), "__late": F.col("__p.late")}).drop("__p").withColumn("__t", F.xxhash64("text"))
     order = Window.partitionBy("__b").orderBy("__late", "__o", "__t")
-    nexts = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    nexts = dealt.repartition("__b").withColumns(made).withColumns({f"next_{c}": F.lead(c).over(order) for c in ["text", *made]})
     return nexts.where("__late = 0").drop("__o", "__b", "__late", "__t")
 
 
@@ -94,9 +126,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     shuffled once.
     """
     rows = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = followed(rows.withColumn("s", sketch(F.col("text"))), ["text", "s"])
+    rows = followed(rows, s=anchors(F.col("text")))
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "s", "next_s", sketch(F.col("edited")).alias("e"))
+    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "s", "next_s", anchors(F.col("edited")).alias("e"))
     return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("s")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"), likeness(F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("s"), F.col("next_s")).alias("near_next"))

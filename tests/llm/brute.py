@@ -59,14 +59,47 @@ def op3(docs):
     return out
 
 
+def xx(*values):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), seed)
+    return seed - 2**64 if seed >> 63 else seed
+
+
+def letters(text, long=16, gram=6):
+    for word in WORD.findall(text):
+        yield from [word] if len(word) <= long else (word[i : i + gram] for i in range(len(word)))
+
+
+def syncmers(text, k=5):
+    """Hash of each different closed syncmer, and the first place."""
+    p = [2**63 - 1] * (k - 1)
+    p = [*p, *(xx(x) for x in letters(text)), *p]
+    found = {}
+    for i in range(len(p) - k + 1 if len(p) > 2 * (k - 1) else 0):
+        inner = [xx(p[j], p[j + 1]) for j in range(i, i + k - 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.setdefault(xx(*inner[::2], p[i + k - 1]) % 2**31, i)
+    return found
+
+
+def alike(a, b, slack=5):
+    shifts = [x - b[h] for x, h in sorted((x, h) for h, x in a.items() if h in b)]
+    good = sum(len(shifts) == 1 or any(0 <= j < len(shifts) and abs(s - shifts[j]) <= slack for j in (i - 1, i + 1)) for i, s in enumerate(shifts))
+    return 2 * good / (len(a) + len(b)) if a or b else 1.0
+
+
 def op4(docs):
-    """doc_id, n_chars, edited_sha256."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     out = []
-    rows = sorted(docs)
+    rows = sorted(((i, t or "") for i, t in docs), key=lambda r: (r[0] is not None, r[0], xx(r[1])))
+    written = lambda f: "".join(f"{2**31 + h:08x}{x:08x}" for h, x in sorted(f.items()))
     for k, (i, t) in enumerate(rows):
-        n, after = len(t or ""), rows[(k + 1) % len(rows)][1] or ""
-        q = n // 4
-        out.append((i, n, sha(((t or "")[: n - q] + after[:q]).encode())))
+        after = rows[(k + 1) % len(rows)][1]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        s, e, n = syncmers(t), syncmers(edited), syncmers(after)
+        out.append((i, len(t), sha(edited.encode()), written(s), written(e), alike(s, e), alike(s, n)))
     return out
 
 
