@@ -99,7 +99,8 @@ def followed(rows: DataFrame, parts: int | None = None, **made: Column) -> DataF
     text's hash; the first follows the last.
 
     Rows are dealt out by ranges of doc_id. The bounds, one per shuffle partition, and the least doc_id of each range are all that the driver
-    sees; the least row of a range goes to the range before as well, where it follows the last. Columns are made after the exchange: only texts travel.
+    sees; the least row of a range goes to the range before as well, where it follows the last. Each range is a
+    partition of its own. Columns are made after the exchange: only texts travel.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -114,7 +115,7 @@ def followed(rows: DataFrame, parts: int | None = None, **made: Column) -> DataF
     places = F.array_compact(F.array(F.struct(F.col("__b").cast("int").alias("b"), F.lit(0).alias("late")), F.when(guard.isNotNull(), F.struct(guard.cast("int").alias("b"), F.lit(1).alias("late")))))
     dealt = keyed.withColumn("__p", F.explode(places)).withColumns({"__b": F.col("__p.b"), "__late": F.col("__p.late")}).drop("__p").withColumn("__t", F.xxhash64("text"))
     order = Window.partitionBy("__b").orderBy("__late", "__o", "__t")
-    nexts = dealt.repartition("__b").withColumns(made).withColumns({f"next_{c}": F.lead(c).over(order) for c in ["text", *made]})
+    nexts = dealt.repartitionById(parts, F.col("__b").cast("int")).withColumns(made).withColumns({f"next_{c}": F.lead(c).over(order) for c in ["text", *made]})
     return nexts.where("__late = 0").drop("__o", "__b", "__late", "__t")
 
 
