@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -78,20 +80,54 @@ def duration(times: DataFrame, by: str = "session_id", micros: str = "micros") -
 # The dip: how far a distribution is from the nearest with one mode.
 
 
-def _hull(x: np.ndarray, y: np.ndarray, upper: bool) -> list[int]:
-    """Indices of the greatest convex minorant (or least concave majorant) of points in order."""
-    kept: list[int] = []
-    sign = -1.0 if upper else 1.0
-    for i in range(len(x)):
+#: Blocks whose lowest points are knots of one round of thinning out.
+BLOCKS = 256
+#: Tasks over which the samples of a session are dealt.
+DRAW_TASKS = 50
+
+
+def _chain(x: np.ndarray, y: np.ndarray, sign: float) -> list[int]:
+    """Places of the hull's corners among points in order, one after the other."""
+    xs, ys, kept = x.tolist(), y.tolist(), []
+    for i in range(len(xs)):
         while len(kept) > 1:
             a, b = kept[-2], kept[-1]
-            if sign * ((y[b] - y[a]) * (x[i] - x[a]) - (y[i] - y[a]) * (x[b] - x[a])) < 0:
+            if sign * ((ys[b] - ys[a]) * (xs[i] - xs[a]) - (ys[i] - ys[a]) * (xs[b] - xs[a])) < 0:
                 break
             kept.pop()
         kept.append(i)
     return kept
 
 
+def _thinned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places, in order, of the points that can be on the minorant, x being different: none is left out but what lies clearly above a chord between two others."""
+    left, knots = np.arange(len(x)), np.array([0, len(x) - 1])
+    if len(x) <= 4 * BLOCKS or not np.isfinite(x[-1] - x[0]):
+        return left
+    slack = 1e-12 * (1 + np.ptp(y))
+    gap = y - np.interp(x, x[knots], y[knots])
+    while len(left) > 4 * BLOCKS:
+        per = len(left) // BLOCKS
+        low = gap[: per * BLOCKS].reshape(BLOCKS, per).argmin(1) + per * np.arange(BLOCKS)
+        knots = np.union1d(knots, left[low])
+        knots = knots[_chain(x[knots], y[knots], 1.0)]
+        gap = y[left] - np.interp(x[left], x[knots], y[knots])
+        under, before = gap <= slack, len(left)
+        left, gap = left[under], gap[under]
+        if 2 * len(left) > before:
+            break
+    return left
+
+
+def _hull(x: np.ndarray, y: np.ndarray, upper: bool) -> list[int]:
+    """Indices of the greatest convex minorant (or least concave majorant) of points in order. Of equal x only the outermost counts, and both ends."""
+    sign, apart = (-1.0 if upper else 1.0), x[1:] > x[:-1]
+    outer = np.flatnonzero(np.append(apart, True) if upper else np.append(True, apart))
+    ends = outer[_thinned(x[outer], sign * y[outer])]
+    kept = np.union1d(ends, [0, len(x) - 1])
+    return kept[_chain(x[kept], y[kept], sign)].tolist()
+
+
 def dip(values: np.ndarray) -> float:
     """The dip statistic: the modal interval shrinks to where the majorant and the minorant of the empirical distribution are farthest apart."""
     x = np.sort(np.asarray(values, dtype=float))
@@ -127,18 +163,35 @@ def dip(values: np.ndarray) -> float:
     return worst / (2 * n)
 
 
+def _drawn_dip(n: int, draw: int, seed: int = 7) -> float:
+    """The dip of the draw-th (from 0) of consecutive uniform samples of size n from a seed; the generator skips what comes before."""
+    return dip(np.random.Generator(np.random.PCG64(seed).advance(draw * n)).random(n))
+
+
 def dip_p(values: np.ndarray, draws: int = 200, seed: int = 7) -> float:
     """The share of uniform samples of this size whose dip is as large at least; from a fixed seed."""
-    rng, d, n = np.random.default_rng(seed), dip(values), len(values)
-    return float(np.mean([dip(rng.random(n)) >= d for _ in range(draws)]))
+    d, n = dip(values), len(values)
+    return float(np.mean([_drawn_dip(n, i, seed) >= d for i in range(draws)]))
 
 
 def histogram_separation(series: DataFrame, value: str = "std", alpha: float = 0.05, draws: int = 200) -> DataFrame:
-    """session_id, dip, p, passed: one number per frame has more than one mode. A session's series goes to one task (frames, not pixels)."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = frame[value].dropna().to_numpy()
-        p = dip_p(found, draws) if len(found) > 3 else 1.0
-        return pd.DataFrame({"session_id": [key[0]], "dip": [dip(found) if len(found) else 0.0], "p": [p], "passed": [p < alpha]})
-
-    return series.select("session_id", value).groupBy("session_id").applyInPandas(run, "session_id string, dip double, p double, passed boolean")
+    """session_id, dip, p, passed: one number per frame has more than one mode; p as by ``dip_p``. A session's series goes to one task (frames, not pixels), its samples to ``DRAW_TASKS``.
+    Sessions of one length share their samples' dips; a series of 3 or fewer has p = 1."""
+
+    def found(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame[value].dropna().to_numpy()
+        return pd.DataFrame({"session_id": [key[0]], "dip": [dip(values) if len(values) else 0.0], "n": [len(values)]})
+
+    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[int, int], float] = {}
+        for frame in frames:
+            pairs = list(zip(frame["n"].tolist(), frame["draw"].tolist(), strict=True))
+            for n, draw in {*pairs} - known.keys():
+                known[n, draw] = _drawn_dip(n, draw) if n > 3 else np.inf
+            yield frame[["session_id", "dip"]].assign(as_large=np.array([known[pair] for pair in pairs], dtype=float) >= frame["dip"].to_numpy())
+
+    dips = series.select("session_id", value).groupBy("session_id").applyInPandas(found, "session_id string, dip double, n bigint")
+    each = dips.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartitionById(DRAW_TASKS, F.col("draw") % DRAW_TASKS)
+    against = each.mapInPandas(compared, "session_id string, dip double, as_large boolean")
+    out = against.groupBy("session_id").agg(F.first("dip").alias("dip"), F.avg(F.col("as_large").cast("int")).alias("p"))
+    return out.withColumn("passed", F.col("p") < alpha)

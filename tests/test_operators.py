@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -89,6 +90,56 @@ def test_checks(spark):
     assert checks.dip(np.ones(5)) == 0.1
 
 
+def chain(x, y, upper):
+    """The hull point by point, without thinning out."""
+    kept, sign = [], -1.0 if upper else 1.0
+    for i in range(len(x)):
+        while len(kept) > 1:
+            a, b = kept[-2], kept[-1]
+            if sign * ((y[b] - y[a]) * (x[i] - x[a]) - (y[i] - y[a]) * (x[b] - x[a])) < 0:
+                break
+            kept.pop()
+        kept.append(i)
+    return kept
+
+
+def test_hulls_are_whole_and_quick():
+    rng, n = np.random.default_rng(4), 6000
+    shapes = [rng.random(n), rng.normal(size=n), np.round(rng.normal(size=n), 2), rng.pareto(0.3, n), np.repeat(rng.random(n // 6), 6), np.sqrt(np.arange(n)), np.arange(n) ** 2.0, np.arange(n) * 1.0]
+    shapes += [np.append(rng.normal(0, 1, n), rng.normal(5, 1, n)), np.append(np.zeros(n), np.ones(n)), *(rng.integers(0, 6, k) * 1.0 for k in range(1, 30))]
+    for x in map(np.sort, shapes):
+        y = np.arange(len(x), dtype=float)
+        for upper in (False, True):
+            assert checks._hull(x, y, upper) == chain(x, y, upper)
+    x, y = np.sort(rng.random(100_000)), np.arange(100_000, dtype=float)
+    began = time.process_time()
+    chain(x, y, False)
+    plain, began = time.process_time() - began, time.process_time()
+    checks.dip(x)
+    assert time.process_time() - began < plain
+
+
+def test_histogram_separation_deals_its_samples_out(spark):
+    rng = np.random.default_rng(5)
+    series = {"one": rng.normal(0, 1, 160), "two": np.append(rng.normal(0, 1, 80), rng.normal(12, 1, 80)), "odd": rng.random(75), "short": np.array([1.0, 2.0, 9.0])}
+    rows = [(k, float(v)) for k, x in series.items() for v in x] + [("two", None), ("two", float("nan")), ("none", None)]
+    context = spark.sparkContext
+    context.setJobGroup("dip", "dip")
+    got = {r["session_id"]: r for r in checks.histogram_separation(spark.createDataFrame(rows, "session_id string, std double")).collect()}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert set(got) == {*series, "none"}
+    for k, x in series.items():
+        assert got[k]["dip"] == checks.dip(x)
+        assert got[k]["p"] == (checks.dip_p(x) if len(x) > 3 else 1.0)
+    assert (got["none"]["dip"], got["none"]["p"]) == (0.0, 1.0)
+    assert [k for k in got if got[k]["passed"]] == ["two"]
+    rng, again = np.random.default_rng(7), checks.dip(series["odd"])
+    assert got["odd"]["p"] == np.mean([checks.dip(rng.random(75)) >= again for _ in range(200)])
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("dip") for s in tracker.getJobInfo(j).stageIds}
+    assert max(info.numTasks for s in stages if (info := tracker.getStageInfo(s))) >= 50
+
+
 def test_stencils(spark):
     flat = stack(stencils.gaussian_laplace(frames(spark, np.full((1, 12, 12), 5.0))))
     assert np.allclose(flat, 5.0, atol=0.01) and np.ptp(flat) < 1e-9
